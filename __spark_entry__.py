@@ -26,14 +26,22 @@ from stationflow.operators import hourly as H  # noqa: E402
 from stationflow.operators import panel as P  # noqa: E402
 from stationflow.operators import scoring as S  # noqa: E402
 from stationflow.operators import station_day as SD  # noqa: E402
+from stationflow.operators.least_squares import one_feature_line  # noqa: E402
+from stationflow.operators.neighbours import nearest, neighbour_means  # noqa: E402
 from stationflow.operators.eligibility import eligibility_stats, eligible_stations  # noqa: E402
 from stationflow.operators.predictions import tidy_predictions  # noqa: E402
 from stationflow.plans import forecast_reports as FR  # noqa: E402
 from stationflow.plans import station_reports as SR  # noqa: E402
+from stationflow.plans.backtest import rolling_backtest  # noqa: E402
+from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predict, model_rows  # noqa: E402
+from stationflow.plans.models import NEIGHBOURS, model_zoo, pick_model  # noqa: E402
 from stationflow.sources import driver_tables as D  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, REPORT, BACKTEST = D.WINDOW, D.REPORT, BacktestConfig()
+# Tree ensembles run with a fraction of their trees here; the rows they read are all there are.
+MODELS = model_zoo(scale=0.01)
+TREES_PER_FOLD = 4
 ANY_STATION = replace(WINDOW, coverage_threshold=0.0, min_valid_days=0)
 
 
@@ -132,6 +140,44 @@ def winsorized_ratio_bounds(spark, sf) -> DataFrame:
     return SR.winsorized_ratio(_days(spark, sf), WINDOW).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def _bench(spark, sf, vectors: bool = False) -> Workbench:
+    return Workbench(model_rows(_panel(spark, sf)), with_vectors=vectors)
+
+
+def dummy_mean_scores(spark, sf) -> DataFrame:
+    bench = _bench(spark, sf)
+    predicted = bench.predict(bench.holdout, MODELS["DummyMean"], "p")
+    return S.score_long(S.column_predictions(predicted, {"DummyMean": "p"})).select(
+        "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
+
+
+def station_effects_scores(spark, sf) -> DataFrame:
+    """Least squares on one feature with an effect per station."""
+    bench = Workbench(model_rows(_panel(spark, sf)), ("y_roll_mean_28",), with_vectors=False)
+    predicted = bench.predict(bench.holdout, MODELS["LinearRegression"], "p")
+    return S.score_long(S.column_predictions(predicted, {"station_effects": "p"})).select(
+        "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
+
+
+def knn_exact(spark, sf) -> DataFrame:
+    """Predictions of all neighbour models, from one search for the hundred nearest train rows."""
+    bench = _bench(spark, sf)
+    means = neighbour_means(nearest(bench.train, bench.holdout, bench.inputs, max(NEIGHBOURS)), NEIGHBOURS)
+    return bench.holdout.select("qid", "station_id", "date", "split", "y").join(means, "qid").drop("qid")
+
+
+def knn_exact_scores(spark, sf) -> DataFrame:
+    predicted = settle(knn_exact(spark, sf))
+    names = [f"KNN_k{k}_{w}" for k in NEIGHBOURS for w in ("dist", "uniform")]
+    return S.score_long(S.column_predictions(predicted, {n: n for n in names})).select(
+        "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
+
+
+def _compare(spark, sf, kinds: set[str], baselines=BASELINES) -> DataFrame:
+    zoo = {name: spec for name, spec in MODELS.items() if spec.kind in kinds}
+    return evaluate_models(_panel(spark, sf), zoo=zoo, baselines=baselines).drop("fit_seconds")
+
+
 REGISTRY: dict[str, Query] = {
     "lane_totals": lambda s, d: H.lane_totals(D.hourly_lane(s, d)),
     "lane_totals_text": lambda s, d: H.lane_totals(D.hourly_text(s, d)),
@@ -166,6 +212,13 @@ REGISTRY: dict[str, Query] = {
         s, d, "STW_n_stations", *S.score_columns(["STW_"])),
     "station_weighted_scores_volume": lambda s, d: _baseline_scores(
         s, d, "STW_n_stations", *S.score_columns(["STW_VOL_"])),
+    "baseline_comparison": lambda s, d: _compare(s, d, set()),
+    "dummy_mean_scores": dummy_mean_scores,
+    "ols_one_feature": lambda s, d: one_feature_line(
+        _complete(s, d).where(F.col("split") == "train"), "y_lag_7"),
+    "station_effects_scores": station_effects_scores,
+    "knn_exact": knn_exact,
+    "knn_exact_scores": knn_exact_scores,
     "predictions_tidy": _predictions,
     "fold_schedule": lambda s, d: FO.fold_schedule(FO.backtest_rows(_panel(s, d), BACKTEST), BACKTEST),
     "backtest_baseline": _backtest,
@@ -191,6 +244,12 @@ REGISTRY: dict[str, Query] = {
     "example_forecasts": _examples,
     "win_rate": lambda s, d: FR.win_rate(_examples(s, d)),
     "system_total_forecast_weekly": lambda s, d: FR.system_total_forecast_weekly(_predictions(s, d)),
+    "bakeoff_linear": lambda s, d: _compare(s, d, {"mean", "station_linear", "penalized", "huber"}),
+    "bakeoff_trees": lambda s, d: _compare(s, d, {"forest", "boosting"}),
+    "predict_extra_trees_like": lambda s, d: fit_and_predict(
+        _panel(s, d), pick_model(MODELS, "ExtraTrees_600_leaf1")),
+    "backtest_model": lambda s, d: rolling_backtest(
+        _panel(s, d), replace(BACKTEST, n_estimators=TREES_PER_FOLD, parallel_fits=4)),
 }
 
 

@@ -344,6 +344,37 @@ EXAMPLES = WIDE_PANEL + tidy("panel") + ["""test AS (SELECT * FROM predictions W
       WHERE date >= (SELECT max(date) FROM test) - 90)"""]
 
 
+def neighbours() -> list[str]:
+    """Every held-out row against every train row; stations are all known to the train rows."""
+    stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS d_{f}" for f in FEATURES)
+    scaled = ", ".join(f"({f} - m_{f}) / d_{f} AS z_{f}" for f in FEATURES)
+    d2 = " + ".join(f"(h.z_{f} - t.z_{f}) * (h.z_{f} - t.z_{f})" for f in FEATURES)
+    means = ", ".join(
+        f"""sum(w * ty) FILTER (WHERE place <= {k}) / sum(w) FILTER (WHERE place <= {k}) AS "KNN_k{k}_dist",
+            avg(ty) FILTER (WHERE place <= {k}) AS "KNN_k{k}_uniform" """ for k in NEIGHBOURS
+    )
+    return [f"feature_stats AS (SELECT {stats} FROM complete WHERE split = 'train')",
+            f"scaled AS (SELECT station_id, date, split, y, {scaled} FROM complete, feature_stats)", f"""pairs AS (
+      SELECT h.station_id, h.date, h.split, h.y, t.y AS ty,
+             {d2} + CASE WHEN h.station_id = t.station_id THEN 0 ELSE 2 END AS d2
+      FROM scaled h, scaled t WHERE h.split <> 'train' AND t.split = 'train')""", """placed AS (
+      SELECT *, row_number() OVER (PARTITION BY station_id, date ORDER BY d2, ty) AS place FROM pairs)""",
+      """near AS (SELECT *, CASE WHEN min(d2) OVER (PARTITION BY station_id, date) = 0
+                  THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / sqrt(d2) END AS w
+      FROM placed WHERE place <= 100)""",
+      f"knn AS (SELECT station_id, date, split, y, {means} FROM near GROUP BY 1, 2, 3, 4)"]
+
+
+NEIGHBOURS = (10, 25, 50, 100)
+KNN = [f"KNN_k{k}_{w}" for k in NEIGHBOURS for w in ("dist", "uniform")]
+STATION_EFFECTS = ["""centres AS (
+      SELECT station_id, avg(y_roll_mean_28) AS mx, avg(y) AS my FROM complete WHERE split = 'train' GROUP BY 1)""",
+      """slope AS (SELECT sum((y_roll_mean_28 - mx) * (y - my)) / sum((y_roll_mean_28 - mx) * (y_roll_mean_28 - mx)) AS b
+      FROM complete JOIN centres USING (station_id) WHERE split = 'train')""",
+      """effects AS (SELECT split, station_id, y, my + b * (y_roll_mean_28 - mx) AS p
+      FROM complete JOIN centres USING (station_id), slope)"""]
+
+
 def q(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -390,6 +421,13 @@ def oracle_sql() -> dict[str, str]:
         "baseline_comparison": q(base, comparison()),
         "dummy_mean_scores": q(fx4 + long_form(
             {"DummyMean": "(SELECT avg(y) FROM complete WHERE split = 'train')"}), scores("", False)),
+        "ols_one_feature": q(fx4, f"""SELECT n_rows, {r("slope", "intercept", "r2")} FROM (
+            SELECT count(*) AS n_rows, regr_slope(y, y_lag_7) AS slope, regr_intercept(y, y_lag_7) AS intercept,
+                   regr_r2(y, y_lag_7) AS r2 FROM complete WHERE split = 'train')"""),
+        "station_effects_scores": q(fx4 + STATION_EFFECTS + long_form({"station_effects": "p"}, "effects"),
+                                    scores("", False)),
+        "knn_exact": q(fx4 + neighbours(), f"SELECT {keys}, split, {r('y', *KNN)} FROM knn"),
+        "knn_exact_scores": q(fx4 + neighbours() + long_form({n: f'"{n}"' for n in KNN}, "knn"), scores("", False)),
         "predictions_tidy": q(fx4 + tidy("complete"), f"""SELECT split, {keys},
             {r("y_true", "y_pred", "y_base", "vol_true", "vol_pred", "vol_base")} FROM predictions"""),
         "fold_schedule": q(fx4 + folds(), "SELECT fold, train_end, test_start, test_end FROM folds"),

@@ -35,12 +35,24 @@ def finite_or_null(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
-def text_to_number(c: Column) -> Column:
+def _numeric_looking(bare: Column) -> Column:
+    """Cheap test before a cast: a failed cast costs an exception, and dirty files hold many.
+
+    Every readable number starts with a sign, a dot or a digit (the characters from ``+`` up to
+    ``9``) or spells infinity.
+    """
+    return bare.between("+", ":") | (F.lower(F.left(bare, F.lit(3))) == "inf")
+
+
+def _parse(text: Column) -> Column:
+    bare = F.trim(text)
+    return F.when(_numeric_looking(bare), F.nanvl(bare.try_cast("double"), F.lit(None).cast("double")))
+
+
+def text_to_number(text: Column) -> Column:
     """Double, or NULL where the text is no number."""
-    bare = F.trim(c)
     # Java reads '12d' and '12f' as numbers; in a count column they are text.
-    suffixed = F.lower(F.right(bare, F.lit(1))).isin("d", "f") & (F.lower(F.right(bare, F.lit(3))) != "inf")
-    return nan_to_null(F.when(~suffixed, bare.try_cast("double")))
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), _parse(text))
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -52,12 +64,13 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 def as_long(df: DataFrame, name: str) -> Column:
     """Whole number, or NULL. Text such as ``12.0`` counts as 12; ``12.5`` does not fit."""
+    c = quoted(name)
     if isinstance(dtype_of(df, name), T.IntegralType):
-        return quoted(name).cast("long")
+        return c.cast("long")
     number = as_number(df, name)
     whole = F.when(number == F.floor(number), number.try_cast("long"))
     if isinstance(dtype_of(df, name), T.StringType):
-        return F.coalesce(quoted(name).try_cast("long"), whole)
+        return F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), c.try_cast("long")).otherwise(whole)
     return whole
 
 
@@ -92,13 +105,17 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def sum_present(df: DataFrame, names: Sequence[str]) -> Column:
     """Row-wise sum over the values that are numbers; NULL when none is."""
     if any(isinstance(dtype_of(df, n), T.StringType) for n in names):
-        # Text: one parsing step over an array keeps the generated code small.
-        def add(total: Column, text: Column) -> Column:
-            value = text_to_number(text)
+        texts = [quoted(n).cast("string") for n in names]
+
+        def add(total: Column, value: Column) -> Column:
             return F.when(value.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + value)
 
-        texts = F.array(*[quoted(n).cast("string") for n in names])
-        return F.aggregate(texts, F.lit(None).cast("double"), add)
+        nothing = F.lit(None).cast("double")
+        plain = F.aggregate(F.array(*[_parse(t) for t in texts]), nothing, add)
+        # Only a row that holds a suspect suffix pays for the careful reading of each text.
+        careful = F.aggregate(F.transform(F.array(*texts), text_to_number), nothing, add)
+        suspect = F.concat_ws("|", *texts).rlike(r"[0-9.][dDfF]\s*(\||$)")
+        return F.when(suspect, careful).otherwise(plain)
     values = [as_number(df, n) for n in names]
     total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
     return F.when(F.coalesce(*values).isNotNull(), total)
