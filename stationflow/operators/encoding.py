@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from stationflow.functions.cleaning import finite_or_null
 
-# One indicator per station up to this many stations; the list of stations passes the driver and
-# every tree node holds statistics per indicator. Beyond it stations are hashed to as many columns.
-MAX_STATION_COLUMNS = 4096
+# One indicator per station up to this many stations: the list of stations passes the driver, every
+# tree node holds statistics per indicator, and normal equations take 4096 columns at most. Beyond it
+# stations are hashed to as many columns.
+MAX_STATION_COLUMNS = 4000
 
 
 def numeric(name: str):

@@ -43,7 +43,8 @@ def improvement_histogram(improvement: DataFrame) -> DataFrame:
     span = span.select(F.struct("lo", "hi").alias("s")).scalar()
     width = (F.col("s.hi") - F.col("s.lo")) / HISTOGRAM_BINS
     at = F.floor(F.try_divide(F.col("delta_smape_pp") - F.col("s.lo"), width))
-    bin_no = F.coalesce(F.least(at, F.lit(HISTOGRAM_BINS - 1)), F.lit(0)).cast("int") + 1
+    # With a single value there is no width and no bin edge: all stations share the first bin.
+    bin_no = F.least(F.coalesce(at, F.lit(0)), F.lit(HISTOGRAM_BINS - 1)).cast("int") + 1
     counts = deltas.withColumn("s", span).groupBy(bin_no.alias("bin"), "s").agg(F.count(F.lit(1)).alias("n_stations"))
     return counts.select(
         "bin",

@@ -89,12 +89,14 @@ def vector_estimator(spec: ModelSpec, train: DataFrame, target: str, out: str):
     """MLlib estimator over ``features``, with penalties converted to MLlib's scale."""
     io = dict(featuresCol="features", labelCol=target, predictionCol=out)
     if spec.kind == "penalized":
-        # MLlib divides the squared penalty by the deviation of the target.
-        sd = float(train.agg(F.stddev_samp(target)).first()[0])
+        # One pass over the rows builds the normal equations; the many iterations that collinear
+        # station and lag columns need then run on that small matrix, with no job each. MLlib
+        # divides the squared penalty by the (population) deviation of the target.
+        sd = float(train.agg(F.stddev_pop(target)).first()[0])
         l1 = spec.params["alpha"] * spec.params["l1_ratio"]
         l2 = spec.params["alpha"] * (1.0 - spec.params["l1_ratio"]) * sd
         return LinearRegression(regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), standardization=False,
-                                solver="l-bfgs", maxIter=1000, tol=1e-8, **io)
+                                solver="normal", maxIter=100_000, tol=1e-13, **io)
     if spec.kind == "huber":
         return LinearRegression(loss="huber", epsilon=spec.params["epsilon"], solver="l-bfgs",
                                 regParam=spec.params["alpha"] / train.count(), standardization=False,
