@@ -180,7 +180,7 @@ def _compare(spark, sf, kinds: set[str], baselines=BASELINES) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "lane_totals": lambda s, d: H.lane_totals(D.hourly_lane(s, d)),
-    "lane_totals_text": lambda s, d: H.lane_totals(D.hourly_text(s, d)),
+    "lane_totals_text": lambda s, d: H.lane_totals(D.hourly_text(s, d)).na.drop(subset=H.DIR_DAY_KEYS),
     "direction_day": _dir_day,
     "direction_day_text": _text_dir_day,
     "top_two_dirs": lambda s, d: SD.top_two_directions(_three(s, d)),

@@ -387,7 +387,7 @@ def oracle_sql() -> dict[str, str]:
     keys = "station_id, date"
     out = {
         "lane_totals": q(lanes(hourly()), lane_out),
-        "lane_totals_text": q(lanes(text_hours()), lane_out),
+        "lane_totals_text": q(lanes(text_hours()), lane_out + " WHERE station_id IS NOT NULL"),
         "direction_day": q(dir_day(hourly()), dir_out),
         "direction_day_text": q(dir_day(text_hours()), dir_out),
         "top_two_dirs": q(top_two(hourly(direction=THREE_DIRECTIONS)), "SELECT * FROM dirs"),

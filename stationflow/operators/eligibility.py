@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from stationflow.config import PanelConfig
 from stationflow.functions.calendar import between_dates
+from stationflow.schemas import YEAR_FOLDER
 
 
 def days_in_window(days: DataFrame, cfg: PanelConfig, require_valid: bool = True) -> DataFrame:
     """Rows inside the window, and only usable ones where the table says which are."""
     kept = days.where(between_dates(F.col("date"), cfg.window_start, cfg.window_end))
+    if YEAR_FOLDER in days.columns:  # lets the scan skip whole folders of the written table
+        kept = kept.where(F.col(YEAR_FOLDER).between(cfg.window_start.year, cfg.window_end.year))
     if require_valid and "valid_day" in days.columns:
         kept = kept.where("valid_day")
     return kept.where(F.col("station_id").isNotNull())

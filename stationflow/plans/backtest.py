@@ -14,7 +14,7 @@ from stationflow.config import FEATURES, BacktestConfig
 from stationflow.lineage import settle
 from stationflow.operators.encoding import station_columns
 from stationflow.operators.folds import backtest_rows, score_folds, test_rows
-from stationflow.plans.models import ModelSpec, extra_trees_like, vector_estimator
+from stationflow.plans.models import ModelSpec, TargetStats, extra_trees_like, vector_estimator
 
 
 def backtest_model(cfg: BacktestConfig) -> ModelSpec:
@@ -40,9 +40,12 @@ def rolling_backtest(panel: DataFrame, cfg: BacktestConfig = BacktestConfig(),
     if not folds:
         raise ValueError("no fold has both train and test rows")
 
+    def stats_of(train: DataFrame) -> TargetStats | None:
+        return TargetStats.collect(train, cfg.target) if spec.kind in ("penalized", "huber") else None
+
     def predict(fold: int, start) -> DataFrame:
         train = rows.where(F.col("date") < F.lit(start))
-        model = vector_estimator(spec, train, cfg.target, "y_pred").fit(train)
+        model = vector_estimator(spec, stats_of(train), cfg.target, "y_pred").fit(train)
         return model.transform(tested.where(F.col("fold") == fold)).select(
             "fold", "test_start", "station_id", cfg.target, cfg.baseline_col, "y_pred")
 

@@ -18,7 +18,7 @@ from stationflow.operators.predictions import tidy_predictions
 from stationflow.operators.scoring import (
     SPLITS, column_predictions, comparison_columns, comparison_wide, score_long,
 )
-from stationflow.plans.models import ModelSpec, model_zoo, vector_estimator
+from stationflow.plans.models import ModelSpec, TargetStats, model_zoo, vector_estimator
 
 VECTOR_KINDS = {"penalized", "huber", "forest", "boosting", "xgboost"}
 
@@ -49,6 +49,7 @@ class Workbench:
         encoded = settle(encoded.withColumn("qid", F.monotonically_increasing_id()))
         self.train = encoded.where(F.col("split") == "train")
         self.holdout = encoded.where(F.col("split").isin(*SPLITS))
+        self._stats: TargetStats | None = None
         self._sums: StationSums | None = None
         self._near: tuple[int, DataFrame] | None = None
 
@@ -68,7 +69,9 @@ class Workbench:
                     nearest(self.train, self.holdout, self.inputs, widest, self.target)))
             means = neighbour_means(self._near[1], [k]).select("qid", F.col(spec.name).alias(out))
             return rows.join(means, "qid", "left")
-        model = vector_estimator(spec, self.train, self.target, out).fit(self.train)
+        if self._stats is None:
+            self._stats = TargetStats.collect(self.train, self.target)
+        model = vector_estimator(spec, self._stats, self.target, out).fit(self.train)
         return model.transform(rows)
 
     def notes(self, spec: ModelSpec) -> str:

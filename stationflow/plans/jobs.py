@@ -19,6 +19,7 @@ from stationflow.plans import station_reports as SR
 from stationflow.plans.backtest import rolling_backtest
 from stationflow.plans.bakeoff import evaluate_models, fit_and_predict, sorted_comparison
 from stationflow.plans.models import ModelSpec, model_zoo, pick_model
+from stationflow.schemas import YEAR_FOLDER
 from stationflow.sources.readers import load_panel, load_station_day, read_hourly
 from stationflow.sources.writers import coverage_name, descending, station_day_name, write_table
 
@@ -27,7 +28,7 @@ def build_station_days(spark: SparkSession, source: str, outdir: str, report: Ma
                        fmt: str = "parquet") -> tuple[str, str]:
     """Hourly files -> station-day table and coverage table; returns the two paths.
 
-    As Parquet the station-day table is split by year, so date filters skip whole folders.
+    As Parquet the station-day table is split by year, so the window filter skips whole folders.
     """
     hourly = read_hourly(spark, source)
     years = year_span(hourly).first()
@@ -35,7 +36,7 @@ def build_station_days(spark: SparkSession, source: str, outdir: str, report: Ma
     days_path = f"{outdir}/{station_day_name(years['min_year'], years['max_year'])}"
     days_path += ".csv" if fmt == "csv" else ""
     if fmt == "parquet":
-        write_table(days.withColumn("year", F.year("date")), days_path, fmt, partition_by=["year"])
+        write_table(days.withColumn(YEAR_FOLDER, F.year("date")), days_path, fmt, partition_by=[YEAR_FOLDER])
     else:
         write_table(days, days_path, fmt, order=["station_id", "date"])
     written = load_station_day(spark, days_path)

@@ -85,21 +85,36 @@ def pick_model(zoo: dict[str, ModelSpec], name: str) -> ModelSpec:
     return zoo[name]
 
 
-def vector_estimator(spec: ModelSpec, train: DataFrame, target: str, out: str):
-    """MLlib estimator over ``features``, with penalties converted to MLlib's scale."""
+@dataclass(frozen=True)
+class TargetStats:
+    """Row count and population deviation of the train target; penalties are scaled by them."""
+
+    n: int
+    deviation: float
+
+    @classmethod
+    def collect(cls, train: DataFrame, target: str) -> TargetStats:
+        row = train.agg(F.count(target), F.stddev_pop(target)).first()
+        return cls(int(row[0]), float(row[1]))
+
+
+def vector_estimator(spec: ModelSpec, stats: TargetStats | None, target: str, out: str):
+    """MLlib estimator over ``features``, with penalties converted to MLlib's scale.
+
+    ``stats`` is needed for the penalized and the robust linear models only.
+    """
     io = dict(featuresCol="features", labelCol=target, predictionCol=out)
     if spec.kind == "penalized":
         # One pass over the rows builds the normal equations; the many iterations that collinear
         # station and lag columns need then run on that small matrix, with no job each. MLlib
         # divides the squared penalty by the (population) deviation of the target.
-        sd = float(train.agg(F.stddev_pop(target)).first()[0])
         l1 = spec.params["alpha"] * spec.params["l1_ratio"]
-        l2 = spec.params["alpha"] * (1.0 - spec.params["l1_ratio"]) * sd
+        l2 = spec.params["alpha"] * (1.0 - spec.params["l1_ratio"]) * stats.deviation
         return LinearRegression(regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), standardization=False,
                                 solver="normal", maxIter=100_000, tol=1e-13, **io)
     if spec.kind == "huber":
         return LinearRegression(loss="huber", epsilon=spec.params["epsilon"], solver="l-bfgs",
-                                regParam=spec.params["alpha"] / train.count(), standardization=False,
+                                regParam=spec.params["alpha"] / stats.n, standardization=False,
                                 maxIter=1000, tol=1e-8, **io)
     if spec.kind == "forest":
         return RandomForestRegressor(maxBins=MAX_BINS, **spec.params, **io)

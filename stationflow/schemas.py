@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 HOUR_COLUMNS = [str(h) for h in range(1, 25)]
+YEAR_FOLDER = "date_year"  # partition column of the written station-day table
 HOURLY_KEYS = ["station_id", "dir_of_travel", "lane_of_travel", "date"]
 
 

@@ -162,7 +162,7 @@ def test_trees_beat_the_mean_and_repeat(synthetic_panel):
 
 def test_trees_of_the_forest_differ(bench):
     spec = model_zoo(scale=0.005)["ExtraTrees_600_leaf1"]
-    model = vector_estimator(spec, bench.train, "y", "p").fit(bench.train)
+    model = vector_estimator(spec, None, "y", "p").fit(bench.train)
     assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) == len(model.trees) == 3
 
 

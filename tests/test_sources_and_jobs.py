@@ -4,9 +4,9 @@ from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from stationflow.config import BacktestConfig, MartConfig
+from stationflow.operators.eligibility import days_in_window
 from stationflow.operators.hourly import direction_day, lane_totals
 from stationflow.plans import jobs
 from stationflow.plans.models import model_zoo
@@ -123,8 +123,8 @@ def test_jobs_end_to_end(spark, tmp_path, synthetic_cfg):
     assert days_path.endswith(station_day_name(2022, 2023))
     days = load_station_day(spark, days_path)
     assert days.count() == len(rows) // 2 and days.where("valid_day").count() == days.count()
-    pruned = days.where(F.col("year") == 2022)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in pruned
+    pruned = days_in_window(days, synthetic_cfg)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date_year" in pruned and "GreaterThanOrEqual(date,2022-01-01)" in pruned
     assert [r["years_present"] for r in spark.read.option("header", True).csv(cover_path).collect()] == ["2"] * 3
     panel_path, stats_path = jobs.build_panel_job(spark, days_path, f"{out}/panel", synthetic_cfg)
     assert spark.read.option("header", True).csv(stats_path).where("eligible = 'true'").count() == 3
