@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from stationflow.lineage import settle
 
 SUB_BUCKETS = 4096
+# Keys are mostly weeks, weekdays or labels. Up to this many keys the edges (a few numbers per key)
+# are broadcast, so rows of a hot key stay where they are; beyond it hot keys are salted.
+BROADCAST_KEYS = 10_000
+SALTS = 32
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -29,6 +33,7 @@ def grouped_quantiles(
     probs: Mapping[str, float],
     whole_below: int = 20_000,
     accuracy: int = 1_000,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per key, plus the row count ``n``.
 
@@ -54,8 +59,16 @@ def grouped_quantiles(
     marks = [m for p in probs.values() for m in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = F.percentile_approx("v", marks, accuracy)
     edges = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("edges"))
+    few_keys = True
     if keys:
-        placed = rows.join(edges, keys)
+        edges = settle(edges)
+        few_keys = edges.count() <= broadcast_keys
+        if few_keys:
+            placed = rows.join(F.broadcast(edges), keys)
+        else:
+            copies = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            placed = salted.join(copies, [*keys, "salt"]).drop("salt")
     else:
         one = edges.select(F.struct("n", "edges").alias("s")).scalar()
         placed = rows.withColumn("s", one).select("v", F.col("s.n").alias("n"), F.col("s.edges").alias("edges"))
@@ -95,7 +108,9 @@ def grouped_quantiles(
     wanted = [r for p in probs.values() for r in ranks(p)]
     hit = buckets.where(_any([(r >= F.col("b_start")) & (r < F.col("b_end")) for r in wanted]))
     join_on = [*keys, "n", "place", "sub"]
-    near = counts.join(hit.select(*join_on, "b_start"), join_on)
+    # At most two rows per key and wanted quantile.
+    targets = hit.select(*join_on, "b_start")
+    near = counts.join(F.broadcast(targets) if few_keys else targets, join_on)
     in_bucket = Window.partitionBy(*group, "place", "sub").orderBy("v")
     near = near.withColumn("end", F.col("b_start") + F.sum("c").over(in_bucket)).withColumn(
         "start", F.col("end") - F.col("c")

@@ -13,12 +13,13 @@ def data():
     return {"a": heavy, "b": hot, "c": np.array([4.0]), "d": np.array([1.0, 2.0, 2.0]), "e": np.full(9_000, 7.0)}
 
 
-@pytest.mark.parametrize("whole_below", [20_000, 2_500])
-def test_exact_per_group(spark, whole_below):
+@pytest.mark.parametrize("whole_below, broadcast_keys", [(20_000, 10_000), (2_500, 10_000), (2_500, 2)])
+def test_exact_per_group(spark, whole_below, broadcast_keys):
     groups = data()
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), (None, 1.0)],
                                "k string, x double").repartition(6)
-    got = {r["k"]: r for r in grouped_quantiles(df, ["k"], "x", PROBS, whole_below=whole_below).collect()}
+    got = {r["k"]: r for r in grouped_quantiles(df, ["k"], "x", PROBS, whole_below=whole_below,
+                                                     broadcast_keys=broadcast_keys).collect()}
     assert set(got) == set(groups)
     for k, values in groups.items():
         assert got[k]["n"] == len(values)
@@ -35,6 +36,16 @@ def test_exact_over_all_rows(spark):
         assert got[0][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+def test_rows_of_a_key_are_not_gathered(spark):
+    df = spark.range(60_000).selectExpr("cast(id % 2 AS int) AS k", "sqrt(id) AS x")
+    plan = grouped_quantiles(df, ["k"], "x", {"m": 0.5}, whole_below=2_500)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    text = text[:text.index("== Initial Plan ==")]
+    # Rows meet their edges by broadcast and are counted by value before any shuffle on the key.
+    assert "SortMergeJoin" not in text and "BuildLeft" not in text and "ReusedExchange" in text
+
+
 def test_no_rows_give_no_quantiles(spark):
     df = spark.createDataFrame([], "k string, x double")
     assert grouped_quantiles(df, ["k"], "x", {"m": 0.5}).isEmpty()
