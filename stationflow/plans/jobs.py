@@ -1,4 +1,4 @@
-"""The five jobs. Each reads its input tables, builds one plan per output and writes it.
+"""The jobs. Each reads its input tables, builds one plan per output and writes it.
 
 Defaults of all paths are the caller's: one folder per job, named by the caller.
 """
