@@ -37,6 +37,12 @@ from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predic
 from stationflow.plans.models import NEIGHBOURS, model_zoo, pick_model  # noqa: E402
 from stationflow.sources import driver_tables as D  # noqa: E402
 
+try:  # the corpus operators stand apart: without them everything else still works
+    import corpus_pipeline
+    from stationflow.llm import queries as corpus
+except ImportError:
+    corpus_pipeline = corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, REPORT, BACKTEST = D.WINDOW, D.REPORT, BacktestConfig()
 # Tree ensembles run with a fraction of their trees here; the rows they read are all there are.
@@ -265,8 +271,16 @@ def _registered(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _registered(query) for name, query in REGISTRY.items()}
+    found = {name: _registered(query) for name, query in REGISTRY.items()}
+    if corpus:
+        found |= corpus.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracle_queries.oracle_sql().items() if name in REGISTRY}
+    found = {name: sql for name, sql in oracle_queries.oracle_sql().items() if name in REGISTRY}
+    if corpus:
+        found |= corpus.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -3,34 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what the session has set.
 
-    Where it is unset a scratch folder is used in local mode; on a cluster that is an error,
-    because executors would not see a folder on the driver's machine.
+    Where neither is set, a scratch folder is made if driver and executors are one process (a master
+    of ``local`` or ``local[...]``); on a cluster that is an error.
     """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="stationflow-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stationflow-checkpoint-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-        current = sc.getCheckpointDir()
-    return current
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from the written rows.
 
     The rows survive lost executors, and every later branch reads them in place of running the
-    plan above again. Partitioning is kept, so windows on the same key need no new shuffle.
+    plan above again. Partitioning is kept, so windows on the same key need no new shuffle. Spark
+    removes the files with the frame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    For wide or large tables: later branches read only the columns they use, with statistics.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stationflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
