@@ -128,7 +128,7 @@ def oracle(rules=RULES, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT) -> s
         return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
 
     def found(terms):
-        return (f"len(list_filter({listed(terms)}, t -> regexp_matches(low, "
+        return (f"len(list_filter({listed(terms)}, lambda t: regexp_matches(low, "
                 "'(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))")
 
     order = sorted(rules, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
