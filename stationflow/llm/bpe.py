@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-KNOWN_PIECES = 600_000  # entries of a worker's table before it starts anew
+from stationflow.llm.cutting import Known, well_formed
+
+KNOWN_WORDS, KNOWN_PARTS = 600_000, 400_000  # entries of a worker's tables before they start anew
 BLOCK = 1 << 18  # ids decoded at a time
-LONGEST_KNOWN = 64  # characters of a piece that is worth keeping
 
 
 class RankQueue:
@@ -81,8 +82,6 @@ class ByteBpe:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.joint = regex.compile(r"\s ").search
-        self.white_end = regex.compile(r"\s\Z").search
         self.queue = RankQueue(max(ranks.values()) + 1)
         pieces = sorted((i, b) for b, i in ranks.items())
         self.flat = np.frombuffer(b"".join(b for _, b in pieces), np.uint8)
@@ -90,7 +89,7 @@ class ByteBpe:
         self.size[[i for i, _ in pieces]] = [len(b) for _, b in pieces]
         self.start = np.cumsum(self.size) - self.size
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known = Known(self._part, KNOWN_PARTS)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -137,44 +136,18 @@ class ByteBpe:
         got = self.words.get(word)
         if got is None:
             got = array("I", self.merge(word.encode())).tobytes()
-            if len(word) <= LONGEST_KNOWN:
-                if len(self.words) >= KNOWN_PIECES:
+            if len(word) <= self.known.longest:
+                if len(self.words) >= KNOWN_WORDS:
                     self.words.clear()
                 self.words[word] = got
         return got
 
-    def _chunk(self, chunk: str) -> bytes:
-        got = b"".join(map(self._word, self.find(chunk)))
-        if len(chunk) <= LONGEST_KNOWN:
-            if len(self.chunks) >= KNOWN_PIECES:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces that begin at a space after a character that is no white space."""
-        parts = text.split(" ")
-        if not self.joint(text):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out, open_ = [], [parts[0]]
-        for before, part in zip(parts, parts[1:]):
-            # a space at the start of the text, or after white space, begins no piece
-            if not before or self.white_end(before):
-                open_.append(part)
-            else:
-                out.append(" ".join(open_))
-                open_ = ["", part]
-        out.append(" ".join(open_))
-        return out
+    def _part(self, part: str) -> bytes:
+        return b"".join(map(self._word, self.find(part)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        try:
-            text.encode()
-        except UnicodeEncodeError:
-            text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        known, chunk = self.chunks.get, self._chunk
-        return b"".join([known(c) or chunk(c) for c in self._cut(text)])
+        return self.known.text(well_formed(text))
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids: each id's stretch of one long row of all pieces."""

@@ -6,18 +6,27 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, simhash, url_filter
+from stationflow.llm import bpe, packing, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = packing.packed(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(
         _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.scored_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.document_components(_table(spark, sf, "documents"))
 
@@ -28,7 +37,8 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_byte_bpe, op9_simhash, op10_url_filter)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op5_byte_bpe, op8_quality, op9_simhash, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
