@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, packing, quality, simhash, url_filter
+from stationflow.llm import bpe, packing, pii, quality, simhash, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digests(_table(spark, sf, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scored_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -38,7 +46,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op5_byte_bpe, op8_quality, op9_simhash, op10_url_filter)}
+        op1_best_fit_packing, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_quality, op9_simhash, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
