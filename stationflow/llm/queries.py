@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, packing, pii, quality, simhash, substring_dedup, url_filter
+from stationflow.llm import bpe, multi_index, nn_descent, packing, pii, quality, simhash, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, sf, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op4_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    return nn_descent.near_duplicates(_table(spark, sf, "embeddings"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(
         _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -46,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_quality, op9_simhash, op10_url_filter)}
+        op1_best_fit_packing, op3_multi_index, op4_nn_descent, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_quality, op9_simhash, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
