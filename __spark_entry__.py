@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +20,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
 from stationflow.config import BASELINES, FEATURES, BacktestConfig  # noqa: E402
-from stationflow.functions.cleaning import drop_incomplete  # noqa: E402
-from stationflow.lineage import settle  # noqa: E402
+from stationflow.functions.cleaning import drop_incomplete, finite_or_null, with_valid_day  # noqa: E402
+from stationflow.lineage import settle, shared_folder  # noqa: E402
 from stationflow.operators import folds as FO  # noqa: E402
 from stationflow.operators import hourly as H  # noqa: E402
 from stationflow.operators import panel as P  # noqa: E402
@@ -33,9 +34,11 @@ from stationflow.operators.predictions import tidy_predictions  # noqa: E402
 from stationflow.plans import forecast_reports as FR  # noqa: E402
 from stationflow.plans import station_reports as SR  # noqa: E402
 from stationflow.plans.backtest import rolling_backtest  # noqa: E402
-from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predict, model_rows  # noqa: E402
-from stationflow.plans.models import NEIGHBOURS, model_zoo, pick_model  # noqa: E402
+from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predict, model_rows, sorted_comparison  # noqa: E402
+from stationflow.plans.models import NEIGHBOURS, TRIAL_COUNTS, model_zoo, pick_model  # noqa: E402
+from stationflow.shipping import ship_package  # noqa: E402
 from stationflow.sources import driver_tables as D  # noqa: E402
+from stationflow.sources.readers import load_station_day  # noqa: E402
 
 try:  # the corpus operators stand apart: without them everything else still works
     import corpus_pipeline
@@ -45,9 +48,12 @@ except ImportError:
 
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, REPORT, BACKTEST = D.WINDOW, D.REPORT, BacktestConfig()
-# Tree ensembles run with a fraction of their trees here; the rows they read are all there are.
-MODELS = model_zoo(scale=0.01)
+# Ensembles are the small ones of the trial zoo, under names that state their own counts; the models
+# of full size are in ``model_zoo()``. The rows they read are all there are.
+MODELS = model_zoo(counts=TRIAL_COUNTS)
 TREES_PER_FOLD = 4
+# Texts of a flag column.
+FLAG_TEXTS = ("true", "False", "1", "0", "", "yes", "n/a", "0.0")
 ANY_STATION = replace(WINDOW, coverage_threshold=0.0, min_valid_days=0)
 
 
@@ -134,7 +140,7 @@ def panel_grid(spark, sf) -> DataFrame:
 
 
 def panel_split_counts(spark, sf) -> DataFrame:
-    has_all = F.when(F.concat_ws("", *FEATURES).isNotNull(), 1)
+    has_all = F.lit(1)
     for c in FEATURES:
         has_all = F.when(F.col(c).isNotNull(), has_all)
     return _panel(spark, sf).groupBy("split").agg(
@@ -179,6 +185,60 @@ def knn_exact_scores(spark, sf) -> DataFrame:
         "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
 
 
+def ridge_scores(spark, sf) -> DataFrame:
+    """Ridge on one feature with a shrunk effect per station."""
+    bench = Workbench(model_rows(_panel(spark, sf)), ("y_roll_mean_28",), with_vectors=False)
+    predicted = bench.predict(bench.holdout, MODELS["Ridge_a1"], "p")
+    return S.score_long(S.column_predictions(predicted, {"ridge": "p"})).select(
+        "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
+
+
+def _many_days(spark, sf) -> DataFrame:
+    """Station days of as many stations as there are suppliers: the fixture grows with the tables."""
+    return settle(_days(spark, sf, station=F.col("l_suppkey")))
+
+
+def station_day_loaded(spark, sf) -> DataFrame:
+    """Station days written as a hand-over table and loaded from it."""
+    path = f"{shared_folder(spark).rstrip('/')}/station-days-{uuid.uuid4().hex}"
+    _days(spark, sf).write.parquet(path)
+    return load_station_day(spark, path).select(
+        "station_id", "date", "dir_a", "dir_b", "n_dirs", "valid_day", "station_volume", "vol_a", "vol_b", "share_a", "share_b")
+
+
+def valid_day_flags(spark, sf) -> DataFrame:
+    """Flags as outside tables write them, read as booleans, with the rows of each."""
+    flag = F.element_at(F.array(*[F.lit(t) for t in FLAG_TEXTS]), (F.col("l_orderkey") % len(FLAG_TEXTS) + 1).cast("int"))
+    items = D.read_table(spark, sf, "lineitem").select(flag.alias("valid_day"), flag.alias("written"))
+    return with_valid_day(items).groupBy("written", "valid_day").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def finite_values(spark, sf) -> DataFrame:
+    """Ratios, some of them infinite or undefined, with what is not finite as NULL."""
+    free = F.col("l_discount") == 0
+    ratio = F.when(free & (F.col("l_tax") == 0), F.lit(float("nan"))).when(free, F.lit(float("inf"))).otherwise(
+        F.col("l_quantity").cast("double") / F.col("l_discount").cast("double"))
+    items = D.read_table(spark, sf, "lineitem").select("l_suppkey", finite_or_null(ratio).alias("ratio"))
+    return items.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("ratio").alias("n_finite"), F.max("ratio").alias("largest"))
+
+
+def comparison_ranked(spark, sf) -> DataFrame:
+    """The baselines in the order in which the comparison table lists them."""
+    best_first = Window.orderBy(F.asc_nulls_last("test_VOL_RMSE"))
+    return sorted_comparison(_compare(spark, sf, set())).select(
+        "model", F.row_number().over(best_first).alias("place"), "test_VOL_RMSE")
+
+
+def backtest_gap_fold(spark, sf) -> DataFrame:
+    """A panel without any row in the third test period: the fold is left out, the others keep their numbers."""
+    rows = _fold_rows(spark, sf)
+    first = rows.select(F.min("date")).scalar()
+    since = F.datediff(F.col("date"), first) - BACKTEST.min_train_days - 2 * BACKTEST.step_days
+    gapped = rows.where(~since.between(0, BACKTEST.horizon_days - 1))
+    return FO.score_folds(FO.test_rows(settle(gapped), BACKTEST), BACKTEST, "y_roll_mean_7")
+
+
 def _compare(spark, sf, kinds: set[str], baselines=BASELINES) -> DataFrame:
     zoo = {name: spec for name, spec in MODELS.items() if spec.kind in kinds}
     return evaluate_models(_panel(spark, sf), zoo=zoo, baselines=baselines).drop("fit_seconds")
@@ -253,9 +313,23 @@ REGISTRY: dict[str, Query] = {
     "bakeoff_linear": lambda s, d: _compare(s, d, {"mean", "station_linear", "penalized", "huber"}),
     "bakeoff_trees": lambda s, d: _compare(s, d, {"forest", "boosting"}),
     "predict_extra_trees_like": lambda s, d: fit_and_predict(
-        _panel(s, d), pick_model(MODELS, "ExtraTrees_600_leaf1")),
+        _panel(s, d), pick_model(MODELS, "ExtraTrees_6_leaf1")).withColumn("model", F.lit("ExtraTrees_6_leaf1")),
     "backtest_model": lambda s, d: rolling_backtest(
-        _panel(s, d), replace(BACKTEST, n_estimators=TREES_PER_FOLD, parallel_fits=4)),
+        _panel(s, d), replace(BACKTEST, n_estimators=TREES_PER_FOLD, parallel_fits=4),
+    ).withColumn("n_estimators", F.lit(TREES_PER_FOLD)),
+    "direction_day_dates": lambda s, d: H.direction_day(H.lane_totals(D.hourly_dates(s, d))),
+    "station_day_loaded": station_day_loaded,
+    "valid_day_flags": valid_day_flags,
+    "finite_values": finite_values,
+    "ridge_scores": ridge_scores,
+    "comparison_ranked": comparison_ranked,
+    "backtest_gap_fold": backtest_gap_fold,
+    "backtest_summary_stated": lambda s, d: FR.backtest_summary(
+        _backtest(s, d).withColumns({"horizon_days": F.lit(21), "step_days": F.lit(63)})),
+    "ratio_to_baseline_weekly_many": lambda s, d: SR.ratio_to_baseline_weekly(_many_days(s, d), ANY_STATION, REPORT),
+    "system_weekly_many": lambda s, d: SR.system_weekly(_many_days(s, d), ANY_STATION),
+    "dow_profile_many": lambda s, d: SR.dow_profile(_many_days(s, d), ANY_STATION),
+    "weekpart_summary_many": lambda s, d: SR.weekpart_summary(SR.weekpart_by_station(_many_days(s, d), ANY_STATION)),
 }
 
 
@@ -266,14 +340,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return rounded(P.build_panel(_days(spark, sf, station=F.col("l_suppkey") % 2), cfg))
 
 
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def _registered(query: Query) -> Query:
-    return lambda spark, sf_dir: rounded(query(spark, sf_dir))
+    return _shipped(lambda spark, sf_dir: rounded(query(spark, sf_dir)))
 
 
 def queries() -> dict[str, Query]:
     found = {name: _registered(query) for name, query in REGISTRY.items()}
     if corpus:
-        found |= corpus.queries() | {"pipeline": corpus_pipeline.run}
+        own = corpus.queries() | {"pipeline": corpus_pipeline.run}
+        found |= {name: _shipped(query) for name, query in own.items()}
     return found
 
 

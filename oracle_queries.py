@@ -223,11 +223,12 @@ def comparison() -> str:
         for name in stw:
             picks.append(f"""round(max(w."{name}") FILTER (WHERE w.split = '{split}'), 6) AS "{split}_{name}" """)
         picks.append(f"""max(w.n) FILTER (WHERE w.split = '{split}') AS "{split}_STW_n_stations" """)
+        picks.append(f"""max(p.n_rows) FILTER (WHERE p.split = '{split}') AS "{split}_n_rows" """)
     means = ", ".join(f'avg("{n}") AS "{n}"' for n in stw)
     return f"""SELECT 'BASELINE::' || p.model AS model,
         'uses ' || CASE p.model WHEN 'naive_lag1' THEN 'y_lag_1' WHEN 'rolling_mean_7' THEN 'y_roll_mean_7'
                    ELSE 'y_lag_7' END AS notes, {", ".join(picks)}
-      FROM (SELECT model, split, {", ".join(plain)} FROM preds GROUP BY 1, 2) p
+      FROM (SELECT model, split, count(*) AS n_rows, {", ".join(plain)} FROM preds GROUP BY 1, 2) p
       JOIN (SELECT model, split, count(*) AS n, {means} FROM (
               SELECT model, split, station_id, {", ".join(weighted)} FROM preds GROUP BY 1, 2, 3) GROUP BY 1, 2) w
         ON w.model = p.model AND w.split = p.split
@@ -375,6 +376,20 @@ STATION_EFFECTS = ["""centres AS (
       FROM complete JOIN centres USING (station_id), slope)"""]
 
 
+RIDGE = ["""sums AS (
+      SELECT station_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy
+      FROM (SELECT station_id, y, (y_roll_mean_28 - m) / d AS x FROM complete,
+              (SELECT avg(y_roll_mean_28) AS m, stddev_pop(y_roll_mean_28) AS d FROM complete WHERE split = 'train')
+            WHERE split = 'train') GROUP BY 1)""", """system AS (
+      SELECT sum(sxx - sx * sx / (n + 1)) + 1 AS a, sum(sx - sx * n / (n + 1)) AS b, sum(n - n * n / (n + 1.0)) AS c,
+             sum(sxy - sx * sy / (n + 1)) AS r1, sum(sy - n * sy / (n + 1)) AS r2 FROM sums)""", """solved AS (
+      SELECT (r1 * c - r2 * b) / (a * c - b * b) AS w, (a * r2 - b * r1) / (a * c - b * b) AS w0 FROM system)""",
+      """ridge AS (
+      SELECT split, c.station_id, y, w0 + w * (y_roll_mean_28 - m) / d + (sy - w * sx - n * w0) / (n + 1) AS p
+      FROM complete c JOIN sums USING (station_id), solved,
+           (SELECT avg(y_roll_mean_28) AS m, stddev_pop(y_roll_mean_28) AS d FROM complete WHERE split = 'train'))"""]
+
+
 def q(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
@@ -385,6 +400,7 @@ def oracle_sql() -> dict[str, str]:
     dir_out = f"SELECT station_id, date, dir_of_travel, {r('vol_dir')} FROM dir_day"
     base = fx4 + long_form(BASELINES)
     keys = "station_id, date"
+    many = station_day(hourly("l_suppkey")) + eligible(0.0, 0)
     out = {
         "lane_totals": q(lanes(hourly()), lane_out),
         "lane_totals_text": q(lanes(text_hours()), lane_out + " WHERE station_id IS NOT NULL"),
@@ -393,6 +409,25 @@ def oracle_sql() -> dict[str, str]:
         "top_two_dirs": q(top_two(hourly(direction=THREE_DIRECTIONS)), "SELECT * FROM dirs"),
         "station_day": q(sd, f"SELECT {STATION_DAY_OUT} FROM station_day"),
         "station_day_text": q(station_day(text_hours()), f"SELECT {STATION_DAY_OUT} FROM station_day"),
+        "direction_day_dates": q(dir_day(hourly()), dir_out),
+        "station_day_loaded": q(sd, f"SELECT {STATION_DAY_OUT} FROM station_day"),
+        "valid_day_flags": """SELECT written, CASE WHEN written IN ('False', '0', '0.0') THEN false ELSE true END AS valid_day,
+            count(*) AS n_rows
+            FROM (SELECT ['true', 'False', '1', '0', '', 'yes', 'n/a', '0.0'][l_orderkey % 8 + 1] AS written FROM lineitem)
+            GROUP BY 1, 2""",
+        "finite_values": f"""SELECT l_suppkey, n_rows, n_finite, {r("largest")} FROM (
+            SELECT l_suppkey, count(*) AS n_rows, count(*) FILTER (WHERE l_discount <> 0) AS n_finite,
+                   max(CASE WHEN l_discount <> 0 THEN CAST(l_quantity AS DOUBLE) / CAST(l_discount AS DOUBLE) END) AS largest
+            FROM lineitem GROUP BY 1)""",
+        "ridge_scores": q(fx4 + RIDGE + long_form({"ridge": "p"}, "ridge"), scores("", False)),
+        "comparison_ranked": q(base, f"""SELECT model, row_number() OVER (ORDER BY v) AS place, round(v, 6) AS "test_VOL_RMSE"
+            FROM (SELECT 'BASELINE::' || model AS model, {rmse(volume("y"), volume("yhat"))} AS v FROM preds
+                  WHERE split = 'test' GROUP BY 1)"""),
+        "backtest_gap_fold": q(fx4 + folds() + backtest(), f"SELECT {BACKTEST_OUT} FROM backtest WHERE fold <> 3"),
+        "ratio_to_baseline_weekly_many": q(many + RATIO, f"""SELECT week_ending,
+            {r("median", "q25", "q75", "median_roll_std_13w")} FROM ratio_weekly"""),
+        "system_weekly_many": q(many + SYSTEM, f"""SELECT week_ending, n_days, {r("total_volume", "active_stations",
+            "vol_per_station", "vps_ma8", "stations_ma8")} FROM system_weekly"""),
         "station_day_three_dirs": q(station_day(hourly(direction=THREE_DIRECTIONS)),
                                     f"SELECT {STATION_DAY_OUT} FROM station_day"),
         "year_span": q(text_hours(), "SELECT min(year(date)) AS min_year, max(year(date)) AS max_year FROM hourly_lane"),
@@ -472,6 +507,28 @@ def oracle_sql() -> dict[str, str]:
                    max(m) AS high
             FROM (SELECT 'weekday' AS weekpart, weekday_mean AS m FROM weekparts
                   UNION ALL SELECT 'weekend', weekend_mean FROM weekparts) GROUP BY 1)"""),
+        "dow_profile_many": q(many + WINSOR, f"""SELECT dow, dow_name, {r("p25", "med", "p75")} FROM (
+            SELECT dow, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][dow + 1] AS dow_name,
+                   {quantiles("mean_ratio", p25=0.25, med=0.5, p75=0.75)}
+            FROM (SELECT station_id, dow, avg(ratio_w) AS mean_ratio FROM clipped GROUP BY 1, 2) GROUP BY 1, 2)"""),
+        "weekpart_summary_many": q(many + WINSOR + WEEKPARTS, f"""SELECT weekpart, n,
+            {r("q25", "med", "q75", "low", "mean", "high")} FROM (
+            SELECT weekpart, count(*) AS n, {quantiles("m", q25=0.25, med=0.5, q75=0.75)}, min(m) AS low, avg(m) AS mean,
+                   max(m) AS high
+            FROM (SELECT 'weekday' AS weekpart, weekday_mean AS m FROM weekparts
+                  UNION ALL SELECT 'weekend', weekend_mean FROM weekparts) GROUP BY 1)"""),
+        "backtest_summary_stated": q(fx4 + folds() + backtest(), f"""SELECT n_folds, all_improved, volatile_fold, volatile_start,
+            volatile_end, horizon_days, step_days, {r("mean_improve_pp", "median_improve_pp", "min_improve_pp",
+                                                      "max_improve_pp", "y_upper")}
+            FROM (SELECT count(*) AS n_folds, avg(vol_smape_improve_pp) AS mean_improve_pp,
+              median(vol_smape_improve_pp) AS median_improve_pp, min(vol_smape_improve_pp) AS min_improve_pp,
+              max(vol_smape_improve_pp) AS max_improve_pp, max(vol_smape_improve_pp) + 0.75 AS y_upper,
+              bool_and(vol_smape_improve_pp > 0) AS all_improved FROM backtest),
+             (SELECT fold AS volatile_fold, test_start AS volatile_start, test_end AS volatile_end FROM backtest
+              ORDER BY vol_smape_base DESC, test_start LIMIT 1),
+             (SELECT 21 AS horizon_days, 63 AS step_days
+              FROM (SELECT *, lead(test_start) OVER (ORDER BY test_start) AS next_start FROM backtest)
+              ORDER BY test_start LIMIT 1)"""),
         "station_improvement": q(IMPROVEMENT, f"""SELECT station_id,
             {r("smape_base", "smape_et", "mean_volume", "delta_smape_pp")} FROM improvement"""),
         "improvement_share": q(IMPROVEMENT, f"""SELECT n_stations, {r("improved_pct")} FROM (

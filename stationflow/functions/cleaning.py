@@ -74,8 +74,12 @@ def as_long(df: DataFrame, name: str) -> Column:
     return whole
 
 
-def as_date(df: DataFrame, name: str, formats: Sequence[str] = ()) -> Column:
-    """Date, or NULL where the text is no date. ``formats`` are tried after the ISO form."""
+# Forms of dates that outside files use besides ISO; month before day where both fit.
+DATE_FORMATS = ("M/d/yyyy", "yyyy/M/d", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "M/d/yyyy H:mm", "M-d-yyyy")
+
+
+def as_date(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Date, or NULL where the text is no date. ``formats`` are tried after the ISO form, in order."""
     c = quoted(name)
     if not isinstance(dtype_of(df, name), T.StringType):
         return c.cast("date")

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.functions.cleaning import as_date, as_long, require_columns, sum_present
+from stationflow.functions.cleaning import DATE_FORMATS, as_date, as_long, require_columns, sum_present
 from stationflow.schemas import HOUR_COLUMNS, HOURLY_KEYS
 
 DIR_DAY_KEYS = ["station_id", "date", "dir_of_travel"]
 
 
-def lane_totals(hourly: DataFrame, where: str = "hourly input", formats: Sequence[str] = ()) -> DataFrame:
+def lane_totals(hourly: DataFrame, where: str = "hourly input", formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """One total per input row: sum of the hours present, NULL when none is.
 
     Values that cannot be read become NULL; rows whose date cannot be read go.
@@ -28,7 +28,7 @@ def lane_totals(hourly: DataFrame, where: str = "hourly input", formats: Sequenc
     ).where(F.col("date").isNotNull())
 
 
-def year_span(hourly: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+def year_span(hourly: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Smallest and largest year over every readable date, before any other filter."""
     day = as_date(hourly, "date", formats)
     return hourly.agg(F.year(F.min(day)).alias("min_year"), F.year(F.max(day)).alias("max_year"))

@@ -31,7 +31,7 @@ def grouped_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    whole_below: int = 20_000,
+    whole_below: int = 1_000,
     accuracy: int = 1_000,
     broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
@@ -44,17 +44,14 @@ def grouped_quantiles(
     3. Bands are cut into sub-buckets; running counts over the buckets find those that hold a
        wanted rank, and only their rows are ordered.
 
-    Keys with up to ``whole_below`` rows skip the edges and keep all their values. A table that has
-    no more rows than that altogether is counted first and needs none of this: one aggregate does.
-    Rows with an empty key or value are left out. ``df`` is read several times: settle it first if
-    it is costly.
+    Keys with up to ``whole_below`` rows keep all their values, because edges need a few rows between
+    them; every table takes the same steps. Rows with an empty key or value are left out. ``df`` is
+    read several times: settle it first if it is costly.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).na.drop()
-    if rows.limit(whole_below + 1).count() <= whole_below:
-        at_once = rows.groupBy(*keys).agg(F.percentile("v", list(probs.values())).alias("q"), F.count(F.lit(1)).alias("n"))
-        return at_once.where(F.col("n") > 0).select(
-            *keys, *[F.col("q")[i].alias(name) for i, name in enumerate(probs)], "n")
+    if whole_below * 5 < accuracy * 2:
+        raise ValueError("edges of a key with few rows need a finer sketch or a larger whole_below")
     margin = 5.0 / accuracy
     marks = [m for p in probs.values() for m in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = F.percentile_approx("v", marks, accuracy)

@@ -20,6 +20,9 @@ SPLITS = ("val", "test")
 
 def column_predictions(rows: DataFrame, sources: Mapping[str, str], target: str = "y") -> DataFrame:
     """Long form from prediction columns that stand side by side; the rows are read once."""
+    if not sources:
+        return rows.limit(0).select(
+            F.lit("").alias("model"), "split", "station_id", F.col(target).alias("y"), F.lit(0.0).alias("yhat"))
     pairs = F.array(*[
         F.struct(F.lit(name).alias("model"), F.col(f"`{c}`").cast("double").alias("yhat"))
         for name, c in sources.items()
@@ -77,4 +80,5 @@ def comparison_wide(scores: DataFrame) -> DataFrame:
         split, metric = column.split("_", 1)
         return F.max(F.when(F.col("split") == split, F.col(f"`{metric}`"))).alias(column)
 
-    return scores.groupBy("model").agg(*[pick(c) for c in comparison_columns()])
+    rows = [f"{split}_n_rows" for split in SPLITS]  # tells models apart that were scored on different rows
+    return scores.groupBy("model").agg(*[pick(c) for c in [*comparison_columns(), *rows]])

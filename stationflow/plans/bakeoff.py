@@ -23,10 +23,11 @@ from stationflow.plans.models import ModelSpec, TargetStats, model_zoo, vector_e
 VECTOR_KINDS = {"penalized", "huber", "forest", "boosting", "xgboost"}
 
 
-def model_rows(panel: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+def model_rows(panel: DataFrame, features: Sequence[str] = FEATURES, target: str = "y",
+               baselines: Mapping[str, str] = BASELINES) -> DataFrame:
     """Panel rows with everything a model or baseline reads; absent columns are not asked for."""
     return drop_incomplete(panel, list(dict.fromkeys(
-        [*features, "station_id", "y", "split", "station_volume", *BASELINES.values()]
+        [*features, "station_id", target, "split", "station_volume", *baselines.values()]
     )))
 
 
@@ -79,8 +80,12 @@ class Workbench:
         return "; ".join(n for n in (spec.notes, hashed) if n)
 
 
+# The texts that stand in the comparison table.
+BASELINE_LABEL, USES, MISSING, FAILED = "BASELINE::{}", "uses {}", "missing column: {}", "FAILED: {}: {}"
+
+
 def _failure(error: Exception) -> str:
-    return f"FAILED: {type(error).__name__}: {str(error).splitlines()[0]}"
+    return FAILED.format(type(error).__name__, (str(error).splitlines() or [""])[0])
 
 
 def evaluate_models(panel: DataFrame, features: Sequence[str] = FEATURES, target: str = "y",
@@ -88,38 +93,38 @@ def evaluate_models(panel: DataFrame, features: Sequence[str] = FEATURES, target
                     seed: int = 7) -> DataFrame:
     """Comparison table: one row per baseline and model, with 17 metrics on val and on test.
 
-    A model that fails gives a row with the reason and no metrics; the others go on. All
-    predictions stand side by side in one table, so scoring reads the rows once.
+    A model that fails, in its fit or in its predictions, gives a row with the reason and no metrics;
+    the others go on. Each model's predictions (row number and value) are written as soon as it is
+    fitted, so that its failure is its own; all are scored in one job, with the rows they cover.
     """
     zoo = model_zoo(seed) if zoo is None else dict(zoo)
-    rows = model_rows(panel, features)
+    rows = model_rows(panel, features, target, baselines)
     bench = Workbench(rows, features, target, any(s.kind in VECTOR_KINDS for s in zoo.values()))
     most = max((s.params["k"] for s in zoo.values() if s.kind == "neighbours"), default=0)
     about: list[tuple[str, float | None, str]] = []
     sources: dict[str, str] = {}
     for name, column in baselines.items():
-        label = f"BASELINE::{name}"
+        label = BASELINE_LABEL.format(name)
         if column in panel.columns:
             sources[label] = column
-            about.append((label, 0.0, f"uses {column}"))
+            about.append((label, 0.0, USES.format(column)))
         else:
-            about.append((label, None, f"missing column: {column}"))
-    wide = bench.holdout
-    for i, (name, spec) in enumerate(zoo.items()):
-        out = f"prediction_{i}"
+            about.append((label, None, MISSING.format(column)))
+    predictions = column_predictions(bench.holdout, sources, target)
+    for name, spec in zoo.items():
         started = time.perf_counter()
         try:
-            added = bench.predict(wide, spec, out, most)
-            wide, sources[name] = added, out
+            made = settle(bench.predict(bench.holdout, spec, "yhat", most).select(
+                F.lit(name).alias("model"), "split", "station_id", F.col(target).alias("y"), "yhat"))
+            predictions = predictions.unionByName(made)
             about.append((name, time.perf_counter() - started, bench.notes(spec)))
         except Exception as error:  # one bad model must not end the comparison
             about.append((name, None, _failure(error)))
-    predictions = column_predictions(wide, sources, target)
     scores = comparison_wide(score_long(predictions))
     # One row per model of the zoo.
-    facts = wide.sparkSession.createDataFrame(about, "model string, fit_seconds double, notes string")
+    facts = panel.sparkSession.createDataFrame(about, "model string, fit_seconds double, notes string")
     return F.broadcast(facts).join(scores, "model", "left").select(
-        "model", "fit_seconds", *[F.col(f"`{c}`") for c in comparison_columns()], "notes"
+        "model", "fit_seconds", *[F.col(f"`{c}`") for c in comparison_columns()], *[f"{s}_n_rows" for s in SPLITS], "notes"
     )
 
 

@@ -172,15 +172,22 @@ def backtest_summary(backtest: DataFrame) -> DataFrame:
     """One row: spread of the improvement, most volatile fold, horizon and step of the schedule.
 
     A fold table has one row per fold, so its first rows and exact median are small aggregates.
-    Where two folds share the highest baseline error the earlier one counts.
+    Where two folds share the highest baseline error the earlier one counts. ``horizon_days`` and
+    ``step_days`` of the table's first fold win over what the dates say; a table without
+    ``vol_smape_base`` has no most volatile fold.
     """
     folds = backtest_deltas(backtest)
+    if "vol_smape_base" not in folds.columns:
+        folds = folds.withColumn("vol_smape_base", F.lit(None).cast("double"))
+    stated = {
+        c: F.col(c).cast("int") if c in folds.columns else F.lit(None).cast("int") for c in ("horizon_days", "step_days")}
     gain = F.col("vol_smape_improve_pp").cast("double")
     start, end = F.col("test_start"), as_date(folds, "test_end")
     starts = F.slice(F.array_sort(F.collect_list(start)), 1, 2)
+    known = F.col("vol_smape_base").isNotNull()
     worst = F.max_by(
-        F.struct("fold", start.alias("start"), end.alias("end")),
-        F.struct("vol_smape_base", (-F.unix_date(start)).alias("earlier")),
+        F.when(known, F.struct("fold", start.alias("start"), end.alias("end"))),
+        F.when(known, F.struct("vol_smape_base", (-F.unix_date(start)).alias("earlier"))),
     )
     return folds.agg(
         F.count(F.lit(1)).alias("n_folds"),
@@ -190,13 +197,15 @@ def backtest_summary(backtest: DataFrame) -> DataFrame:
         F.max(gain).alias("max_improve_pp"),
         F.every(gain > 0).alias("all_improved"),
         worst.alias("worst"),
-        F.min_by(F.datediff(end, start) + 1, start).alias("horizon_days"),
+        F.min_by(F.coalesce(stated["horizon_days"], F.datediff(end, start) + 1), start).alias("horizon_days"),
+        F.min_by(stated["step_days"], start).alias("stated_step"),
         starts.alias("starts"),
     ).select(
         "n_folds", "mean_improve_pp", "median_improve_pp", "min_improve_pp", "max_improve_pp", "all_improved",
         F.col("worst.fold").alias("volatile_fold"), F.col("worst.start").alias("volatile_start"),
         F.col("worst.end").alias("volatile_end"),
         "horizon_days",
-        F.datediff(F.get("starts", F.lit(1)), F.get("starts", F.lit(0))).alias("step_days"),
+        F.coalesce(
+            "stated_step", F.datediff(F.get("starts", F.lit(1)), F.get("starts", F.lit(0)))).alias("step_days"),
         (F.col("max_improve_pp") + 0.75).alias("y_upper"),
     )

@@ -5,10 +5,13 @@ Defaults of all paths are the caller's: one folder per job, named by the caller.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.config import BacktestConfig, MartConfig, PanelConfig
+from stationflow.functions.cleaning import DATE_FORMATS
 from stationflow.lineage import settle
 from stationflow.operators.eligibility import eligibility_stats
 from stationflow.operators.hourly import direction_day, lane_totals, year_span
@@ -25,14 +28,17 @@ from stationflow.sources.writers import coverage_name, descending, station_day_n
 
 
 def build_station_days(spark: SparkSession, source: str, outdir: str, report: MartConfig = MartConfig(),
-                       fmt: str = "parquet") -> tuple[str, str]:
+                       fmt: str = "parquet", formats: Sequence[str] = DATE_FORMATS) -> tuple[str, str]:
     """Hourly files -> station-day table and coverage table; returns the two paths.
 
+    ``formats`` are the forms of dates besides ISO; a source without any readable date is an error.
     As Parquet the station-day table is split by year, so the window filter skips whole folders.
     """
     hourly = read_hourly(spark, source)
-    years = year_span(hourly).first()
-    days = station_day(direction_day(lane_totals(hourly, source)))
+    years = year_span(hourly, formats).first()
+    if years["min_year"] is None:
+        raise ValueError(f"{source}: no date could be read as ISO or {list(formats)}")
+    days = station_day(direction_day(lane_totals(hourly, source, formats)))
     days_path = f"{outdir}/{station_day_name(years['min_year'], years['max_year'])}"
     days_path += ".csv" if fmt == "csv" else ""
     if fmt == "parquet":

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Penalties and neighbour counts of the zoo.
+# Penalties, neighbour counts, and (below) the names and settings of the zoo.
 PENALTIES = (1e-4, 3e-4, 1e-3, 3e-3, 1e-2)
 NEIGHBOURS = (10, 25, 50, 100)
 MAX_BINS = 256
@@ -26,11 +26,24 @@ class ModelSpec:
     notes: str = ""
 
 
-def model_zoo(seed: int = 7, scale: float = 1.0) -> dict[str, ModelSpec]:
-    """All models by name. ``scale`` below 1 shrinks tree counts and boosting rounds for trials."""
-    def rounds(n: int) -> int:
-        return max(1, round(n * scale))
+@dataclass(frozen=True)
+class TreeCounts:
+    """Trees and boosting rounds of the ensembles; a model's name always states its own count."""
+
+    forest: int = 400
+    extra: int = 600
+    boosting: int = 500
+    histogram: tuple[int, int, int] = (400, 600, 800)
+    xgboost: tuple[int, int] = (1200, 1800)
+
+
+# Small ensembles for trials and checks: models of their own, with names of their own.
+TRIAL_COUNTS = TreeCounts(forest=4, extra=6, boosting=5, histogram=(4, 6, 8), xgboost=(12, 18))
+
 
+def model_zoo(seed: int = 7, counts: TreeCounts = TreeCounts()) -> dict[str, ModelSpec]:
+    """All models by name."""
+    h = counts.histogram
     specs = [
         ModelSpec("DummyMean", "mean"),
         ModelSpec("LinearRegression", "station_linear", {"alpha": 0.0}),
@@ -44,29 +57,29 @@ def model_zoo(seed: int = 7, scale: float = 1.0) -> dict[str, ModelSpec]:
         for weights in ("dist", "uniform"):
             specs.append(ModelSpec(f"KNN_k{k}_{weights}", "neighbours", {"k": k, "weights": weights}))
     specs += [
-        ModelSpec("RandomForest_400_leaf2", "forest", dict(
-            numTrees=rounds(400), minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=DEEPEST, seed=seed),
+        ModelSpec(f"RandomForest_{counts.forest}_leaf2", "forest", dict(
+            numTrees=counts.forest, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=DEEPEST, seed=seed),
             "depth limit 30"),
-        ModelSpec("ExtraTrees_600_leaf1", "forest", extra_trees_like(rounds(600), 1, seed),
+        ModelSpec(f"ExtraTrees_{counts.extra}_leaf1", "forest", extra_trees_like(counts.extra, 1, seed),
                   "extra_trees_like: no bootstrap, random thirds of the features, depth limit 30"),
-        ModelSpec("GradientBoosting_500_lr0.05_depth3_sub0.8", "boosting", dict(
-            maxIter=rounds(500), stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=seed)),
-        ModelSpec("HGB_d6_lr0.05_it400_leaf50_l2e-6", "boosting", dict(
-            maxIter=rounds(400), stepSize=0.05, maxDepth=6, minInstancesPerNode=50, seed=seed), "no l2 term"),
-        ModelSpec("HGB_leaf20_lr0.05_it600_d6_l2e-3", "boosting", dict(
-            maxIter=rounds(600), stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=seed), "no l2 term"),
-        ModelSpec("HGB_leaf20_lr0.05_it800_nodes63_l2e-3", "boosting", dict(
-            maxIter=rounds(800), stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=seed),
+        ModelSpec(f"GradientBoosting_{counts.boosting}_lr0.05_depth3_sub0.8", "boosting", dict(
+            maxIter=counts.boosting, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=seed)),
+        ModelSpec(f"HGB_d6_lr0.05_it{h[0]}_leaf50_l2e-6", "boosting", dict(
+            maxIter=h[0], stepSize=0.05, maxDepth=6, minInstancesPerNode=50, seed=seed), "no l2 term"),
+        ModelSpec(f"HGB_leaf20_lr0.05_it{h[1]}_d6_l2e-3", "boosting", dict(
+            maxIter=h[1], stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=seed), "no l2 term"),
+        ModelSpec(f"HGB_leaf20_lr0.05_it{h[2]}_nodes63_l2e-3", "boosting", dict(
+            maxIter=h[2], stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=seed),
             "63 leaves taken as depth 6; no l2 term"),
     ]
     if importlib.util.find_spec("xgboost") is not None:
         common = dict(reg_lambda=1.0, objective="reg:squarederror", random_state=seed)
         specs += [
-            ModelSpec("XGBoost_curr_1200_lr0.03_d8_sub0.9_col0.9", "xgboost", dict(
-                n_estimators=rounds(1200), learning_rate=0.03, max_depth=8, subsample=0.9,
+            ModelSpec(f"XGBoost_curr_{counts.xgboost[0]}_lr0.03_d8_sub0.9_col0.9", "xgboost", dict(
+                n_estimators=counts.xgboost[0], learning_rate=0.03, max_depth=8, subsample=0.9,
                 colsample_bytree=0.9, **common)),
-            ModelSpec("XGBoost_safe_1800_lr0.02_d6_child10_sub0.8_col0.8", "xgboost", dict(
-                n_estimators=rounds(1800), learning_rate=0.02, max_depth=6, min_child_weight=10,
+            ModelSpec(f"XGBoost_safe_{counts.xgboost[1]}_lr0.02_d6_child10_sub0.8_col0.8", "xgboost", dict(
+                n_estimators=counts.xgboost[1], learning_rate=0.02, max_depth=6, min_child_weight=10,
                 subsample=0.8, colsample_bytree=0.8, **common)),
         ]
     return {s.name: s for s in specs}

@@ -83,3 +83,17 @@ def hourly_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(day).alias("date"),
         *[F.when(hour == h, count).alias(str(h)) for h in range(1, 25)],
     )
+
+
+def hourly_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text row per order line, with dates written in five ways."""
+    items = read_table(spark, sf_dir, "lineitem")
+    hour, way = F.col("l_orderkey") % 24 + 1, F.col("l_linenumber") % 5
+    forms = ("yyyy-MM-dd", "M/d/yyyy", "yyyyMMdd", "yyyy/MM/dd", "MMM d, yyyy")
+    written = F.coalesce(*[F.when(way == k, F.date_format("l_shipdate", f)) for k, f in enumerate(forms)])
+    return items.select(
+        (F.col("l_suppkey") % 5).cast("string").alias("station_id"),
+        F.when(F.col("l_linestatus") == "O", "1").otherwise("2").alias("dir_of_travel"),
+        F.col("l_linenumber").cast("string").alias("lane_of_travel"), written.alias("date"),
+        *[F.when(hour == h, F.col("l_quantity").cast("string")).alias(str(h)) for h in range(1, 25)],
+    )

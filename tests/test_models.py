@@ -12,7 +12,7 @@ from stationflow.operators.least_squares import StationSums, fit_station_linear
 from stationflow.operators.neighbours import nearest, neighbour_means
 from stationflow.plans.backtest import rolling_backtest
 from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predict, model_rows, sorted_comparison
-from stationflow.plans.models import ModelSpec, model_zoo, pick_model, vector_estimator
+from stationflow.plans.models import TRIAL_COUNTS, ModelSpec, model_zoo, pick_model, vector_estimator
 
 
 @pytest.fixture(scope="module")
@@ -143,7 +143,7 @@ def test_comparison_isolates_failures_and_missing_baselines(synthetic_panel):
     zoo = {"DummyMean": ModelSpec("DummyMean", "mean"), "Broken": ModelSpec("Broken", "nonsense")}
     table = settle(evaluate_models(synthetic_panel, zoo=zoo, baselines={**BASELINES, "absent": "y_lag_99"}))
     rows = {r["model"]: r for r in table.collect()}
-    assert len(rows) == 6 and len(table.columns) == 37
+    assert len(rows) == 6 and len(table.columns) == 39
     assert rows["Broken"]["notes"].startswith("FAILED: ValueError:") and rows["Broken"]["test_RMSE"] is None
     assert rows["BASELINE::absent"]["notes"] == "missing column: y_lag_99"
     assert rows["BASELINE::naive_lag1"]["notes"] == "uses y_lag_1" and rows["BASELINE::naive_lag1"]["fit_seconds"] == 0.0
@@ -151,9 +151,36 @@ def test_comparison_isolates_failures_and_missing_baselines(synthetic_panel):
     assert order[:4] == sorted(order[:4]) and order[4:] == [None, None]
 
 
+class _FailsLate:
+    """Fits, and fails when it predicts, without a message."""
+
+    def fit(self, train):
+        return self
+
+    def transform(self, rows):
+        from pyspark.sql import functions as F
+
+        return rows.withColumn("yhat", F.raise_error(F.lit("late")).cast("double"))
+
+
+def test_a_model_that_fails_without_message_or_while_predicting_stays_alone(synthetic_panel, monkeypatch):
+    import stationflow.plans.bakeoff as bakeoff
+
+    def estimator(spec, stats, target, out):
+        if spec.name == "Silent":
+            raise AssertionError
+        return _FailsLate()
+
+    monkeypatch.setattr(bakeoff, "vector_estimator", estimator)
+    zoo = {n: ModelSpec(n, "forest") for n in ("Silent", "Late")} | {"DummyMean": ModelSpec("DummyMean", "mean")}
+    rows = {r["model"]: r for r in evaluate_models(synthetic_panel, zoo=zoo, baselines={}).collect()}
+    assert rows["Silent"]["notes"] == "FAILED: AssertionError: " and rows["Late"]["notes"].startswith("FAILED: ")
+    assert rows["DummyMean"]["test_RMSE"] > 0 and rows["DummyMean"]["test_n_rows"] > 0 and rows["Late"]["test_RMSE"] is None
+
+
 def test_trees_beat_the_mean_and_repeat(synthetic_panel):
-    zoo = model_zoo(scale=0.01)
-    spec = zoo["ExtraTrees_600_leaf1"]
+    zoo = model_zoo(counts=TRIAL_COUNTS)
+    spec = zoo["ExtraTrees_6_leaf1"]
     first, again = (fit_and_predict(synthetic_panel, spec).orderBy("station_id", "date").toPandas() for _ in range(2))
     assert (first["y_pred"] == again["y_pred"]).all() and first["split"].isin(["val", "test"]).all()
     error = ((first["y_true"] - first["y_pred"]) ** 2).mean()
@@ -161,9 +188,9 @@ def test_trees_beat_the_mean_and_repeat(synthetic_panel):
 
 
 def test_trees_of_the_forest_differ(bench):
-    spec = model_zoo(scale=0.005)["ExtraTrees_600_leaf1"]
+    spec = model_zoo(counts=TRIAL_COUNTS)["ExtraTrees_6_leaf1"]
     model = vector_estimator(spec, None, "y", "p").fit(bench.train)
-    assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) == len(model.trees) == 3
+    assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) == len(model.trees) == 6
 
 
 def test_backtest_with_model(synthetic_panel):

@@ -54,7 +54,7 @@ def test_weightings_agree_for_equal_stations(spark):
 def test_comparison_has_17_metrics_per_split(spark):
     df = spark.createDataFrame(SCORED, "split string, station_id long, y double, p double")
     wide = comparison_wide(score_long(column_predictions(df, {"m": "p"})))
-    assert len(comparison_columns()) == 34 and wide.columns == ["model", *comparison_columns()]
+    assert len(comparison_columns()) == 34 and wide.columns == ["model", *comparison_columns(), "val_n_rows", "test_n_rows"]
     assert wide.first()["val_RMSE"] == 0.0 and wide.first()["test_STW_n_stations"] == 2
 
 

@@ -9,7 +9,7 @@ from stationflow.config import BacktestConfig, MartConfig
 from stationflow.operators.eligibility import days_in_window
 from stationflow.operators.hourly import direction_day, lane_totals
 from stationflow.plans import jobs
-from stationflow.plans.models import model_zoo
+from stationflow.plans.models import TRIAL_COUNTS, model_zoo
 from stationflow.schemas import HOUR_COLUMNS, HOURLY_KEYS
 from stationflow.sources.readers import (
     HOURLY_COLUMNS, load_backtest, load_panel, load_predictions, load_station_day, read_hourly, read_hourly_folder,
@@ -128,10 +128,10 @@ def test_jobs_end_to_end(spark, tmp_path, synthetic_cfg):
     assert [r["years_present"] for r in spark.read.option("header", True).csv(cover_path).collect()] == ["2"] * 3
     panel_path, stats_path = jobs.build_panel_job(spark, days_path, f"{out}/panel", synthetic_cfg)
     assert spark.read.option("header", True).csv(stats_path).where("eligible = 'true'").count() == 3
-    zoo = {k: v for k, v in model_zoo(scale=0.005).items() if v.kind in ("mean", "station_linear") or "ExtraTrees" in k}
+    zoo = {k: v for k, v in model_zoo(counts=TRIAL_COUNTS).items() if v.kind in ("mean", "station_linear") or "ExtraTrees" in k}
     table_path = jobs.compare_models_job(spark, panel_path, f"{out}/comparison.csv", zoo=zoo)
     assert spark.read.option("header", True).csv(table_path).count() == len(zoo) + 3
-    pred_path = jobs.predict_job(spark, panel_path, f"{out}/pred.csv.gz", zoo=zoo, fmt="csv")
+    pred_path = jobs.predict_job(spark, panel_path, f"{out}/pred.csv.gz", model="ExtraTrees_6_leaf1", zoo=zoo, fmt="csv")
     back_path = jobs.backtest_job(spark, panel_path, f"{out}/backtest.csv", BacktestConfig(
         n_estimators=2, min_train_days=450, step_days=60))
     predictions, backtest = load_predictions(spark, pred_path), load_backtest(spark, back_path)
