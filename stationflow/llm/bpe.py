@@ -7,8 +7,7 @@ stale entries are skipped. Each merge costs a few word operations, however long
 a pre-token of n bytes takes O(n log n) (the logarithm from the order of positions in a bucket).
 
 Texts are cut only where a space follows a character that is no white space; no pre-token reaches
-across such a place, so each piece is encoded once per worker and then looked up. The tables of
-known pieces are bounded and start anew when full; results don't depend on them.
+across such a place, so parts seen lately are looked up in a bounded table; results don't depend on it.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded one by one; lone surrogates become U+FFFD, as the library does it. Other
@@ -28,9 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stationflow.llm.cutting import Known, well_formed
+from stationflow.llm.cutting import TextEncoder
 
-KNOWN_WORDS, KNOWN_PARTS = 600_000, 400_000  # entries of a worker's tables before they start anew
 BLOCK = 1 << 18  # ids decoded at a time
 
 
@@ -78,18 +76,14 @@ class ByteBpe:
     """Encodes pre-tokens by ranks of byte strings (rank = id), and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         pieces = sorted((i, b) for b, i in ranks.items())
         self.flat = np.frombuffer(b"".join(b for _, b in pieces), np.uint8)
         self.size = np.zeros(pieces[-1][0] + 1, np.int64)
         self.size[[i for i, _ in pieces]] = [len(b) for _, b in pieces]
         self.start = np.cumsum(self.size) - self.size
-        self.words: dict[str, bytes] = {}
-        self.known = Known(self._part, KNOWN_PARTS)
+        self.encoder = TextEncoder(pattern, self._pre_token)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -132,22 +126,12 @@ class ByteBpe:
             i = after[i]
         return ids
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            got = array("I", self.merge(word.encode())).tobytes()
-            if len(word) <= self.known.longest:
-                if len(self.words) >= KNOWN_WORDS:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        return b"".join(map(self._word, self.find(part)))
+    def _pre_token(self, word: str) -> bytes:
+        return array("I", self.merge(word.encode())).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        return self.known.text(well_formed(text))
+        return self.encoder.text(text)
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids: each id's stretch of one long row of all pieces."""

@@ -32,28 +32,45 @@ def spaced_parts(text: str) -> list[str]:
     return out
 
 
-class Known(dict):
-    """Packed ids by part (with the space before it); a bounded table that starts anew when full.
+class Recent(dict):
+    """What ``make`` gives for a key, remembered for the keys used last; never more than two times ``most``."""
 
-    ``encode`` gives the packed ids of a string; what the table holds never changes a result.
-    """
-
-    def __init__(self, encode: Callable[[str], bytes], most: int, longest: int = 64):
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 64):
         super().__init__()
-        self.encode, self.most, self.longest = encode, most, longest
-
-    def __missing__(self, part: str) -> bytes:
-        got = self.encode(" " + part)
-        if len(part) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = got
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > self.longest:
+                return got
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
         return got
 
+
+class TextEncoder:
+    """Packed ids of whole texts, from a pre-token pattern and a function that encodes one pre-token.
+
+    Pre-tokens and parts seen lately are looked up; that never changes a result.
+    """
+
+    def __init__(self, pattern: str, pre_token: Callable[[str], bytes], most: int = 250_000):
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        self.words = Recent(pre_token, most)
+        self.parts = Recent(lambda part: self.whole(" " + part), most)
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.find(text)))
+
     def text(self, text: str) -> bytes:
-        """Packed ids of a whole text."""
-        parts = spaced_parts(text)
-        return self.encode(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
+        parts = spaced_parts(well_formed(text))
+        return self.whole(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
 
 
 def well_formed(text: str) -> str:

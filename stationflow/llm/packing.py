@@ -29,34 +29,42 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from stationflow.lineage import staged
-from stationflow.llm.cutting import Known, well_formed
+from stationflow.llm.cutting import TextEncoder
 
 SIZE = 2048
 END_ID = 0
-KNOWN_PARTS = 600_000
 ROWS_PER_BUCKET = 200_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, if it is
+    printable and no space; else the next one from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class LibraryTokenizer:
-    """Packed ids by the ``tokenizers`` library, which sees every distinct part of a text once."""
+    """Packed ids by the merges of the ``tokenizers`` library, one pre-token at a time."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text here
-        self.known = Known(self._encode, KNOWN_PARTS)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = byte_letters()
+        self.encoder = TextEncoder(pattern, self._pre_token)
 
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+    def _pre_token(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        return self.known.text(well_formed(text)) if text else b""
+        return self.encoder.text(text) if text else b""
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> LibraryTokenizer:
-    return LibraryTokenizer(path)
+def load(path: str, pattern: str) -> LibraryTokenizer:
+    return LibraryTokenizer(path, pattern)
 
 
 def cut_ids(packed: bytes, size: int) -> list[tuple[int, int, bytes]]:
@@ -67,14 +75,14 @@ def cut_ids(packed: bytes, size: int) -> list[tuple[int, int, bytes]]:
     return [(k, a, packed[4 * a:4 * b]) for k, (a, b) in enumerate(zip(places, [*places[1:], total]))]
 
 
-def pieces(text: Column, path: str, size: int = SIZE, end_id: int = END_ID) -> Column:
+def pieces(text: Column, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID) -> Column:
     """array<struct<piece, start, ids>>: the ids of a text and the end token, in pieces; ids are packed
     as little-endian unsigned 32-bit integers."""
     end = int(end_id).to_bytes(4, "little")
 
     @pandas_udf("array<struct<piece:int,start:long,ids:binary>>")
     def tokenised(texts: pd.Series) -> pd.Series:
-        tokenizer = load(path)
+        tokenizer = load(path, pattern)
         return pd.Series([
             [{"piece": k, "start": a, "ids": ids} for k, a, ids in cut_ids(tokenizer.ids(t) + end, size)]
             for t in texts
@@ -83,9 +91,9 @@ def pieces(text: Column, path: str, size: int = SIZE, end_id: int = END_ID) -> C
     return tokenised(text)
 
 
-def cut(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def cut(docs: DataFrame, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids per piece."""
-    rows = docs.select("doc_id", F.explode(pieces(F.col("text"), path, size, end_id)).alias("p"))
+    rows = docs.select("doc_id", F.explode(pieces(F.col("text"), path, pattern, size, end_id)).alias("p"))
     return rows.select("doc_id", "p.piece", "p.start", (F.octet_length("p.ids") / 4).cast("long").alias("length"), "p.ids")
 
 
@@ -164,7 +172,7 @@ def place(rows: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
     }).drop("rank", "first_rank", "end_rank", "first_sequence", "each", "base")
 
 
-def packed(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Pieces with their digest, place and, if wanted, ids (packed little-endian unsigned 32-bit integers)."""
-    rows = cut(docs, path, size, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    rows = cut(docs, path, pattern, size, end_id).withColumn("ids_crc32", F.crc32("ids"))
     return place(staged(rows if with_ids else rows.drop("ids")), size)
