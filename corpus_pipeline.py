@@ -1,15 +1,28 @@
 """The corpus pipeline: documents in, packed training sequences out, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next stage's documents. All but the last return the columns of documents.
+again as the next stage's documents. All but the last return the columns of documents. Empty tables,
+null texts and repeated rows pass as the operators define it; extra columns are kept up to packing.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stationflow.lineage import staged
-from stationflow.llm import simhash
+from stationflow.llm import line_dedup, packing, pii, quality, simhash
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of these documents, rejects go."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, to a word, leave their texts; every document stays."""
+    return line_dedup.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +30,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.first_of_each(docs)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their ids and places in sequences."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", remove_repeated_lines),
     ("simhash_near_dedup", near_dedup),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack),
 ]
 
-# Trained scores, extracted spans and packing places can't be said in SQL; tests hold the stages
-# against brute-force versions.
+# Trained scores, extracted spans and token ids can't be said in SQL; tests hold the stages against
+# brute-force versions.
 ORACLE_SQL = None
 
 

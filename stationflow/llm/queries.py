@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, multi_index, nn_descent, packing, pii, quality, simhash, substring_dedup, url_filter
+from stationflow.llm import bpe, line_dedup, multi_index, nn_descent, packing, pii, quality, simhash, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -14,10 +14,16 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = packing.packed(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    rows = packing.packed(
+        _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+        with_ids=False)
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.removed_lines(_table(spark, sf, "documents")).drop("text_hash")
+
+
 def op3_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     return multi_index.nearest(_table(spark, sf, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
@@ -54,8 +60,8 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op3_multi_index, op4_nn_descent, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_quality, op9_simhash, op10_url_filter)}
+        op1_best_fit_packing, op2_line_dedup, op3_multi_index, op4_nn_descent, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_quality, op9_simhash, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.oracle()}
+    return {"op2_line_dedup": line_dedup.oracle(), "op10_url_filter": url_filter.oracle()}
