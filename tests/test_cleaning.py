@@ -27,8 +27,10 @@ def test_long_keeps_all_digits(spark):
 def test_dates(spark):
     df = spark.createDataFrame([("2021-03-04",), ("2021-03-04 10:00:00",), ("03/04/2021",), ("x",), (None,)], "t string")
     day = date(2021, 3, 4)
-    assert values(df.select(K.as_date(df, "t"))) == [(day,), (day,), (None,), (None,), (None,)]
-    assert values(df.select(K.as_date(df, "t", ["MM/dd/yyyy"])))[2] == (day,)
+    assert values(df.select(K.as_date(df, "t", ()))) == [(day,), (day,), (None,), (None,), (None,)]
+    assert values(df.select(K.as_date(df, "t"))) == [(day,), (day,), (day,), (None,), (None,)]
+    forms = spark.createDataFrame([("20210304",), ("2021/3/4",), ("Mar 4, 2021",), ("3/4/2021",), ("4 Mar 2021",)], "t string")
+    assert values(forms.select(K.as_date(forms, "t"))) == [(day,)] * 5
 
 
 def test_flags_only_clear_false_is_false(spark):
