@@ -33,7 +33,7 @@ BLOCK = 1 << 18  # ids decoded at a time
 
 
 class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank and its leftmost position.
+    """Positions by merge rank; gives the lowest rank and, within it, the leftmost position first.
 
     A word of the lower bitmap covers 256 ranks; the upper bitmap has a bit per word.
     """

@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+# Entries of a generation of each table. A pre-token that is not known costs most, so most room is for these.
+KNOWN_WORDS, KNOWN_PARTS = 640_000, 60_000
+
 # Python's white space holds all that pre-tokenizers count as such; a few characters more only join parts.
 _AFTER_WHITE = re.compile(r"\s (?<=\s\s)").search
 _WHITE_END = re.compile(r"\s\Z").search
@@ -58,12 +61,12 @@ class TextEncoder:
     Pre-tokens and parts seen lately are looked up; that never changes a result.
     """
 
-    def __init__(self, pattern: str, pre_token: Callable[[str], bytes], most: int = 250_000):
+    def __init__(self, pattern: str, pre_token: Callable[[str], bytes]):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.words = Recent(pre_token, most)
-        self.parts = Recent(lambda part: self.whole(" " + part), most)
+        self.words = Recent(pre_token, KNOWN_WORDS)
+        self.parts = Recent(lambda part: self.whole(" " + part), KNOWN_PARTS)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.find(text)))
