@@ -38,16 +38,19 @@ MIN_WORDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = "[\\x20\\x09-\\x0D]+"
 LINE = ["h1", "h2"]  # 128 bits that stand for a distinct line
-
-
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, UPPER, LOWER), WHITE), lambda w: w != "")
+SWAP, LESS, WHOLE = 0, 1, 2  # kinds of keys: less a word at its place, less a word, the line itself
+# Up to so many digests (16 bytes each) of lines that share a half go to all tasks, so that the text of
+# all other lines stays where it is; beyond it both sides are shuffled.
+BROADCAST_LINES = 400_000
 
 
 def _text_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "text_hash", "line_no", words_of(F.col("line")).alias("words")).where("size(words) > 0")
+    line = F.btrim(F.col("line"), F.lit(" \t\n\x0b\x0c\r"))
+    lines = lines.withColumn("line", line).where("line <> ''")
+    words = F.split(F.translate("line", UPPER, LOWER), WHITE)
+    return lines.select("doc_id", "text_hash", "line_no", words.alias("words"))
 
 
 def _digests(words: Column) -> list[Column]:
@@ -63,42 +66,49 @@ def _halves() -> Column:
         ]
 
     half, less = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
-    return F.array(*ends(half), *ends(less))
+    # a line of an odd number of words has one size of half
+    return F.when(F.col("n") % 2 == 1, F.array(*ends(half))).otherwise(F.array(*ends(half), *ends(less)))
 
 
 def _partners(distinct: DataFrame) -> DataFrame:
     """h1, h2, head, tail of lines that share a half with another line; head: a first half is shared."""
     halves = distinct.select(*LINE, F.posexplode("halves").alias("place", "half"))
     halves = halves.select(*LINE, "half", (F.col("place") % 2 == 0).alias("is_first"))
-    # a line of an odd number of words has both of its halves twice
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high")
     found = halves.join(shared.select("half"), "half")
     return found.groupBy(*LINE).agg(F.max("is_first").alias("head"), F.max(~F.col("is_first")).alias("tail"))
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """Keys of the deletion neighbourhoods of lines (h1, h2, first, words, head, tail)."""
-    words = lines.select(*LINE, "first", "head", "tail", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    words = words.withColumns({
-        "here": F.xxhash64("word", "i"), "moved": F.xxhash64("word", F.col("i") - 1)}).drop("word")
-    whole = Window.partitionBy(*LINE)
-    before = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    until = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    full = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """line (h1, h2), kind and key of the deletion neighbourhoods of lines (h1, h2, words, head, tail)."""
+    words = lines.select(
+        *LINE, F.size("words").alias("n"), (F.col("head").cast("int") + 2 * F.col("tail").cast("int")).alias("sides"),
+        F.posexplode("words").alias("i", "word"))
+    words = words.select(
+        *LINE, "n", "sides", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    whole = Window.partitionBy(*LINE).orderBy("i")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    until = whole.rowsBetween(Window.unboundedPreceding, 0)
+    full = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.coalesce(F.bit_xor("here").over(before), F.lit(0))
     right = F.bit_xor("moved").over(full).bitwiseXOR(F.bit_xor("moved").over(until))
     less = words.select(
-        *LINE, "first", "head", "tail", "n", "i", left.bitwiseXOR(right).alias("less"), F.bit_xor("here").over(full).alias("all"))
+        *LINE, "n", "sides", "i", left.bitwiseXOR(right).alias("less"), F.bit_xor("here").over(full).alias("all"))
     half = F.floor(F.col("n") / 2)
     # behind a shared first half, or before a shared last half; one word of slack for lines of one word less
-    open_ = (F.col("head") & (F.col("i") >= half - 1)) | (F.col("tail") & (F.col("i") <= F.col("n") - half))
+    open_ = (F.col("sides").bitwiseAND(F.lit(1)) > 0) & (F.col("i") >= half - 1)
+    open_ = open_ | ((F.col("sides") >= 2) & (F.col("i") <= F.col("n") - half))
     size, fewer = F.col("n"), F.col("n") - 1
+
+    def entry(kind: int, key: Column) -> Column:
+        return F.struct(F.lit(kind).cast("byte").alias("kind"), key.alias("key"))
+
     made = F.array(
-        F.when(open_, F.struct(F.lit("swap").alias("kind"), F.xxhash64(F.lit("swap"), size, "i", "less").alias("key"))),
-        F.when(open_, F.struct(F.lit("less").alias("kind"), F.xxhash64(F.lit("whole"), fewer, "less").alias("key"))),
-        F.when(F.col("i") == 0, F.struct(F.lit("whole").alias("kind"), F.xxhash64(F.lit("whole"), size, "all").alias("key"))),
+        F.when(open_, entry(SWAP, F.xxhash64(F.lit("swap"), size, "i", "less"))),
+        F.when(open_, entry(LESS, F.xxhash64(F.lit("whole"), fewer, "less"))),
+        F.when(F.col("i") == 0, entry(WHOLE, F.xxhash64(F.lit("whole"), size, "all"))),
     )
-    return less.select(*LINE, "first", "n", F.explode(F.array_compact(made)).alias("m")).select(*LINE, "first", "n", "m.*")
+    return less.select(*LINE, F.explode(F.array_compact(made)).alias("m")).select(*LINE, "m.*")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -117,18 +127,21 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def _near(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """h1, h2, near: the earliest line one edit away, for lines that have one earlier than themselves."""
-    partners = _partners(distinct.where(F.col("n") >= min_words))
-    lines = distinct.select(*LINE, "first").join(partners, LINE)
+    partners = staged(_partners(distinct.where(F.col("n") >= min_words)))
     text = _text_lines(docs).where(F.size("words") >= min_words)
-    text = text.select(F.struct("doc_id", "text_hash", "line_no").alias("first"), *_digests(F.col("words")), "words")
-    lines = staged(text.join(lines, [*LINE, "first"]).dropDuplicates(LINE))
+    text = text.select(*_digests(F.col("words")), "words")
+    few = partners.count() <= BROADCAST_LINES
+    text = text.join(F.broadcast(partners) if few else partners, LINE).dropDuplicates(LINE)
+    lines = staged(text.join(distinct.select(*LINE, "first"), LINE))
     keys = staged(_keys(lines))
-    early = keys.groupBy("key").agg(
-        F.min(F.when(F.col("kind") != "less", F.col("first"))).alias("level"),
-        F.min(F.when(F.col("kind") == "less", F.col("first"))).alias("above"), F.count(F.lit(1)).alias("lines"),
-    ).where("lines > 1").drop("lines")
-    partner = F.when(F.col("kind") == "whole", F.col("above")).otherwise(F.col("level"))
-    met = keys.join(early, "key").withColumn("near", partner).where(F.col("near") < F.col("first"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key")
+    # only keys that lines share are worth the place of their lines
+    met = staged(keys.join(shared, "key").join(lines.select(*LINE, "first"), LINE))
+    early = met.groupBy("key").agg(
+        F.min(F.when(F.col("kind") != LESS, F.col("first"))).alias("level"),
+        F.min(F.when(F.col("kind") == LESS, F.col("first"))).alias("above"))
+    partner = F.when(F.col("kind") == WHOLE, F.col("above")).otherwise(F.col("level"))
+    met = met.join(early, "key").withColumn("near", partner).where(F.col("near") < F.col("first"))
     best = met.groupBy(*LINE).agg(F.min("near").alias("near"))
     mine = lines.select(*LINE, "words").join(best, LINE)
     theirs = lines.select(F.col("first").alias("near"), F.col("words").alias("other"))
