@@ -99,7 +99,7 @@ _CUES = {
 }
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=8_000)
 def span_features(span: str, before: str) -> tuple[float, ...]:
     """Features of a whole span and the word before it."""
     digits = _NOT_DIGIT.sub("", span)
