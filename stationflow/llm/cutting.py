@@ -61,11 +61,11 @@ class TextEncoder:
     Pre-tokens and parts seen lately are looked up; that never changes a result.
     """
 
-    def __init__(self, pattern: str, pre_token: Callable[[str], bytes]):
+    def __init__(self, pattern: str, pre_token: Callable[[str], bytes], known_words: int = KNOWN_WORDS):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.words = Recent(pre_token, KNOWN_WORDS)
+        self.words = Recent(pre_token, known_words)
         self.parts = Recent(lambda part: self.whole(" " + part), KNOWN_PARTS)
 
     def whole(self, text: str) -> bytes:

@@ -34,6 +34,8 @@ from stationflow.llm.cutting import TextEncoder
 SIZE = 2048
 END_ID = 0
 ROWS_PER_BUCKET = 200_000
+# Pre-tokens remembered by a task; the library's merges are cheap, so less room serves than the encoder needs.
+KNOWN_WORDS = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,7 +54,7 @@ class LibraryTokenizer:
 
         self.model = Tokenizer.from_file(path).model
         self.letters = byte_letters()
-        self.encoder = TextEncoder(pattern, self._pre_token)
+        self.encoder = TextEncoder(pattern, self._pre_token, KNOWN_WORDS)
 
     def _pre_token(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.letters)
