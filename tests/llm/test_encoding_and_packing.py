@@ -124,6 +124,7 @@ def test_plan_uses_as_many_sequences_as_plain_best_fit():
 
 def test_packed_pieces_on_odd_rows(spark, docs_of, odd_texts, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 2)  # several buckets of ranks
+    monkeypatch.setattr(packing, "BATCH_BYTES", 300)  # several batches of pieces
     rows = packing.packed(docs_of(odd_texts), JSON, P.PATTERN, size=64).collect()
     _check_sequences(rows, 64)
     want = Counter()
@@ -133,4 +134,7 @@ def test_packed_pieces_on_odd_rows(spark, docs_of, odd_texts, tokenizer, monkeyp
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             want[(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    bare = packing.packed(docs_of(odd_texts), JSON, P.PATTERN, size=64, with_ids=False)
+    assert "ids" not in bare.columns and Counter(r["ids_crc32"] for r in bare.collect()) == Counter(r["ids_crc32"] for r in rows)
     assert packing.packed(docs_of([]), JSON, P.PATTERN).count() == 0
