@@ -30,14 +30,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stationflow.lineage import staged
+from stationflow.llm.batches import BATCH_BYTES, in_small_batches
 from stationflow.llm.cutting import TextEncoder
 
 SIZE = 2048
 END_ID = 0
 ROWS_PER_BUCKET = 200_000
 # Pre-tokens remembered by a task; the library's merges are cheap, so less room serves than the encoder needs.
-KNOWN_WORDS = 120_000
-BATCH_BYTES = 4 << 20  # of ids
+KNOWN_WORDS = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -85,7 +85,7 @@ def cut(
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids per piece of each text and its end token.
 
     Ids are packed as little-endian unsigned 32-bit integers. A task holds the pieces of one text and
-    about BATCH_BYTES more before it hands them on.
+    about BATCH_BYTES of ids more before it hands them on.
     """
     end = int(end_id).to_bytes(4, "little")
     schema = T.StructType([
@@ -116,7 +116,7 @@ def cut(
             if rows:
                 yield handed_on(doc_ids, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, schema)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(batches, schema)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:

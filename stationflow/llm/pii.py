@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from stationflow.llm.batches import in_small_batches
+
 Span = tuple[int, int, str]  # start, end, kind
 
 # Kinds in their order, and the base patterns (a look-behind keeps starts at the start of a run).
@@ -363,7 +365,7 @@ def listed(spans: Column) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, number of base spans of each kind, digest of the base spans, all spans."""
-    rows = docs.select("doc_id", personal_spans(F.col("text")).alias("found"))
+    rows = in_small_batches(docs).select("doc_id", personal_spans(F.col("text")).alias("found"))
     def number(kind: str) -> Column:
         return F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -391,7 +393,7 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t, all_spans(t, field)) if t else t for t in texts], dtype=object)
 
-    docs = docs.withColumn("text", cleaned(F.col("text")))
+    docs = in_small_batches(docs).withColumn("text", cleaned(F.col("text")))
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 

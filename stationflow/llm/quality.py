@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from stationflow.lineage import staged
+from stationflow.llm.batches import in_small_batches
 
 FOLDS, HELD_OUT = 4, 2  # rows with crc32(doc_id) mod 4 = 2 are never trained on
 THRESHOLD = 0.7
@@ -155,7 +156,7 @@ def score(stats: Column, model: Discriminant) -> Column:
 
 def scored_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``; trained on the other folds."""
-    measured = staged(docs.select("doc_id", statistics(F.col("text")).alias("stats")))
+    measured = staged(in_small_batches(docs).select("doc_id", statistics(F.col("text")).alias("stats")))
     model = _trained(measured, labels)
     rows = measured.select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
@@ -170,6 +171,6 @@ def _trained(measured: DataFrame, labels: DataFrame) -> Discriminant:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
-    measured = staged(docs.select("doc_id", statistics(F.col("text")).alias("stats")))
+    measured = staged(in_small_batches(docs).select("doc_id", statistics(F.col("text")).alias("stats")))
     model = _trained(measured, labels)
     return docs.where(score(statistics(F.col("text")), model) >= threshold)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from stationflow.llm.batches import in_small_batches
 from stationflow.llm.components import components
 from stationflow.lineage import settle
 
@@ -105,7 +106,7 @@ def _labelled(rows: DataFrame, max_bits: int) -> DataFrame:
 
 def document_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) per row of ``docs``."""
-    rows = settle(docs.select("doc_id", fingerprint(F.col("text"), words_each).alias("bits")))
+    rows = settle(in_small_batches(docs).select("doc_id", fingerprint(F.col("text"), words_each).alias("bits")))
     found = rows.join(_labelled(rows, max_bits), "bits")
     digits = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
@@ -113,7 +114,7 @@ def document_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bi
 
 def first_of_each(docs: DataFrame, words_each: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: least doc_id, then least digest of the text."""
-    rows = settle(docs.select(
+    rows = settle(in_small_batches(docs).select(
         "doc_id", F.xxhash64("text").alias("digest"), fingerprint(F.col("text"), words_each).alias("bits")))
     # least values that are not null come first; the third field only makes nulls comparable
     order = F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
