@@ -12,25 +12,24 @@ counts of the buckets before; so a length that a third of all pieces have is ran
 
 Defined cases: a null text counts as empty and gives a piece that holds the end token alone;
 repeated rows are packed one by one; pieces with equal keys and equal digests are interchangeable;
-an empty table gives an empty result. Names of other columns don't matter: ``cut`` reads
-``doc_id`` and ``text`` only.
+an empty table gives an empty result. Names of other columns don't matter: ``tokenised`` and ``cut``
+return columns of their own only.
 """
 
 from __future__ import annotations
 
-import zlib
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from stationflow.lineage import staged
-from stationflow.llm.batches import BATCH_BYTES, in_small_batches
+from stationflow.llm.batches import in_small_batches
 from stationflow.llm.cutting import TextEncoder
 
 SIZE = 2048
@@ -79,44 +78,26 @@ def cut_ids(packed: bytes, size: int) -> list[tuple[int, int, bytes]]:
     return [(k, a, packed[4 * a:4 * b]) for k, (a, b) in enumerate(zip(places, [*places[1:], total]))]
 
 
-def cut(
-    docs: DataFrame, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = True,
-) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids per piece of each text and its end token.
-
-    Ids are packed as little-endian unsigned 32-bit integers. A task holds the pieces of one text and
-    about BATCH_BYTES of ids more before it hands them on.
-    """
+def pieces(text: Column, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID) -> Column:
+    """array<struct<piece, start, ids>>: the ids of a text and the end token, in pieces; ids are packed
+    as little-endian unsigned 32-bit integers."""
     end = int(end_id).to_bytes(4, "little")
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
-        *[T.StructField(name, T.LongType()) for name in ("start", "length", "ids_crc32")],
-        *[T.StructField("ids", T.BinaryType())] * with_ids])
-
-    def handed_on(doc_ids: pa.Array, rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        row, piece, start, ids = zip(*rows)
-        columns = [
-            doc_ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-            pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()),
-            *[pa.array(ids, pa.binary())] * with_ids]
-        return pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    @pandas_udf("array<struct<piece:int,start:long,ids:binary>>")
+    def tokenised(texts: pd.Series) -> pd.Series:
         tokenizer = load(path, pattern)
-        for batch in incoming:
-            doc_ids, texts = batch.columns
-            rows, held = [], 0
-            for row, text in enumerate(texts):
-                packed = tokenizer.ids(text.as_py()) + end
-                rows += [(row, *piece) for piece in cut_ids(packed, size)]
-                held += len(packed)
-                if held >= BATCH_BYTES:
-                    yield handed_on(doc_ids, rows)
-                    rows, held = [], 0
-            if rows:
-                yield handed_on(doc_ids, rows)
-
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(batches, schema)
+        return pd.Series([
+            [{"piece": k, "start": a, "ids": ids} for k, a, ids in cut_ids(tokenizer.ids(t) + end, size)]
+            for t in texts
+        ], dtype=object)
+
+    return tokenised(text)
+
+
+def cut(docs: DataFrame, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids per piece."""
+    rows = in_small_batches(docs).select("doc_id", F.explode(pieces(F.col("text"), path, pattern, size, end_id)).alias("p"))
+    return rows.select("doc_id", "p.piece", "p.start", (F.octet_length("p.ids") / 4).cast("long").alias("length"), "p.ids")
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
@@ -196,4 +177,5 @@ def place(rows: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
 
 def packed(docs: DataFrame, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Pieces with their digest, place and, if wanted, ids (packed little-endian unsigned 32-bit integers)."""
-    return place(staged(cut(docs, path, pattern, size, end_id, with_ids)), size)
+    rows = cut(docs, path, pattern, size, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    return place(staged(rows if with_ids else rows.drop("ids")), size)

@@ -124,7 +124,6 @@ def test_plan_uses_as_many_sequences_as_plain_best_fit():
 
 def test_packed_pieces_on_odd_rows(spark, docs_of, odd_texts, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 2)  # several buckets of ranks
-    monkeypatch.setattr(packing, "BATCH_BYTES", 300)  # several batches of pieces
     rows = packing.packed(docs_of(odd_texts), JSON, P.PATTERN, size=64).collect()
     _check_sequences(rows, 64)
     want = Counter()
