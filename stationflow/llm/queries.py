@@ -6,7 +6,9 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, line_dedup, multi_index, nn_descent, packing, pii, quality, simhash, substring_dedup, url_filter
+from stationflow.llm import (
+    bpe, line_dedup, multi_index, nn_descent, packing, pii, quality, simhash, spelling, substring_dedup, url_filter, whitening,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,9 +60,19 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf, "embeddings"))
+
+
+def op12_trie_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf, "documents"))
+
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_line_dedup, op3_multi_index, op4_nn_descent, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_quality, op9_simhash, op10_url_filter)}
+        op1_best_fit_packing, op2_line_dedup, op3_multi_index, op4_nn_descent, op5_byte_bpe, op6_substring_dedup, op7_pii,
+        op8_quality, op9_simhash, op10_url_filter, op11_whitening, op12_trie_frontier)}
 
 
 def oracle_sql() -> dict[str, str]:
