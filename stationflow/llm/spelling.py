@@ -10,8 +10,9 @@ meets the end of a word has found a neighbour. Replacements are looked for upwar
 insertions as deletions from the longer word; the pairs hold in both directions.
 
 Words go down two tries, as they are and reversed. An edit stands in the second half of one of the two, so
-a state starts at the node of its own first half, below the crowded top of the trie. Edges of words of
-up to 16 characters carry one character; up to 32 two, up to 64 four, and so on, so there are 17 levels
+a state starts at the node of its own first half, below the crowded top of the trie. An edge also says, as
+64 bits, which next characters and lengths there are below its child; a state whose rest is not among
+them is not sent there. Edges of words of up to 16 characters carry one character; up to 32 two, up to 64 four, and so on, so there are 17 levels
 at most, however long the words. A word at a border of two such classes goes into both. Prefix hashes may
 collide, which only adds pairs; every pair is held against the words at the end.
 
@@ -98,7 +99,8 @@ def _walks(words: DataFrame) -> DataFrame:
     both = words.select("word", "n", F.lit(False).alias("back")).unionByName(
         words.select(F.reverse("word").alias("word"), "n", F.lit(True).alias("back")))
     return both.select("*", blocks).withColumns({
-        "first_level": F.floor(length / 2 / F.col("block")).cast("int"),
+        # the two halves make up the word: reversed, the longer one counts as the first
+        "first_level": F.floor(F.floor((length + F.col("back").cast("int")) / 2) / F.col("block")).cast("int"),
         "last_level": F.floor(length / F.col("block")).cast("int")})
 
 
@@ -106,6 +108,12 @@ def _node(depth: Column) -> Column:
     return F.xxhash64("back", "block", F.substring("word", F.lit(1), depth))
 
 
+def _below(at: Column) -> Column:
+    """The bit of what a word still holds from a place on: its next characters, and how many there are."""
+    rest = F.xxhash64(F.substring("word", at + 1, F.col("block")), F.length("word") - at)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(rest, F.lit(64)).cast("int"))
+
+
 def _at_level(walks: DataFrame, level: int) -> DataFrame:
     """The words that pass this level without an edit, with their node and the place they have reached."""
     depth = F.lit(level) * F.col("block")
@@ -115,11 +123,13 @@ def _at_level(walks: DataFrame, level: int) -> DataFrame:
 
 
 def _edges(passing: DataFrame) -> DataFrame:
-    """node, label, child; the edge that ends a word has no child and names the word and its count."""
-    goes_on = F.when(~F.col("ends"), _node(F.col("at") + F.col("block")))
-    return passing.select(
-        "node", F.substring("word", F.col("at") + 1, F.col("block")).alias("label"), goes_on.alias("child"),
-        F.when(F.col("ends"), F.col("word")).alias("other"), F.when(F.col("ends"), F.col("n")).alias("other_n")).distinct()
+    """node, label, child, below; the edge that ends a word has no child and names the word and its count."""
+    after = F.col("at") + F.col("block")
+    rows = passing.select(
+        "node", F.substring("word", F.col("at") + 1, F.col("block")).alias("label"), F.when(~F.col("ends"), _node(after)).alias("child"),
+        F.when(F.col("ends"), F.col("word")).alias("other"), F.when(F.col("ends"), F.col("n")).alias("other_n"),
+        F.when(~F.col("ends"), _below(after)).alias("bit"))
+    return rows.groupBy("node", "label", "child", "other", "other_n").agg(F.bit_or("bit").alias("below"))
 
 
 def _hot_nodes(walks: DataFrame) -> DataFrame | None:
@@ -160,8 +170,12 @@ def _step(met: DataFrame) -> DataFrame:
     replaced = fits & (label > same) & (single | (F.levenshtein(label, same, 1) == 1))
     dropped = fits_longer & (ends | (label != same)) & F.when(
         single, label == F.substring("word", at + 2, F.lit(1))).otherwise(F.levenshtein(label, longer, 1) == 1)
-    moves = F.when(edited, F.array(F.when(fits & (label == same), at + size))).otherwise(
-        F.array(F.when(replaced, at + size), F.when(dropped, at + size + 1)))
+
+    def reaching(to: Column) -> Column:
+        return ends | (_below(to).bitwiseAND(F.col("below")) != 0)
+
+    moves = F.when(edited, F.array(F.when(fits & (label == same) & reaching(at + size), at + size))).otherwise(
+        F.array(F.when(replaced & reaching(at + size), at + size), F.when(dropped & reaching(at + size + 1), at + size + 1)))
     rows = met.withColumn("moves", F.array_compact(moves)).where(F.size("moves") > 0)
     return rows.select("word", "n", "back", "block", F.col("child").alias("node"), F.explode("moves").alias("at"),
                        F.lit(1).alias("edits"), "other", "other_n")
@@ -220,3 +234,60 @@ def spelling_groups(docs: DataFrame, times: int = TIMES) -> DataFrame:
     last = roots(rows.where("form IS NOT NULL"))
     return rows.join(last, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle(times: int = TIMES) -> str:
+    """The same over ``documents`` in DuckDB SQL, with pairs from words that lack a character."""
+    return f"""
+WITH RECURSIVE crc(b, k, v) AS (
+    SELECT b, 0, b FROM range(256) AS bytes(b)
+    UNION ALL
+    SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY b) AS entries FROM crc WHERE k = 8),
+runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{_LETTERS}]+')) AS run FROM documents)
+),
+counted AS (
+    SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS digits
+    FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL
+),
+hashed AS (
+    SELECT run, n, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(digits) // 2), lambda i:
+            (strpos('0123456789ABCDEF', digits[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', digits[2 * i + 2]) - 1)),
+        lambda crc, byte: xor(crc >> 8, entries[xor(crc & 255, byte) + 1])), 4294967295) AS h
+    FROM counted, crc_table
+),
+words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % {DAMAGED} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM hashed)
+    WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}
+),
+shorter AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+pairs AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+),
+near AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+    FROM pairs GROUP BY word
+),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {times} * n THEN other END AS form,
+           CASE WHEN other_n >= {times} * n THEN other_n END AS form_n
+    FROM words LEFT JOIN near USING (word)
+),
+chain(word, reached, form) AS (
+    SELECT word, word, form FROM formed
+    UNION ALL
+    SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON formed.word = chain.form
+)
+SELECT formed.word, formed.form, reached AS root, n, n_near, form_n
+FROM formed JOIN chain ON chain.word = formed.word AND chain.form IS NULL"""
