@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stationflow.llm import (
-    bpe, line_dedup, multi_index, nn_descent, packing, pii, quality, simhash, spelling, substring_dedup, url_filter, whitening,
+    bpe, byte_cnn, line_dedup, multi_index, nn_descent, packing, pii, quality, simhash, spelling, substring_dedup, url_filter,
+    whitening,
 )
 
 
@@ -68,12 +69,16 @@ def op12_trie_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_groups(_table(spark, sf, "documents"))
 
 
+def op13_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_cnn.predicted_languages(_table(spark, sf, "documents"))
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_line_dedup, op3_multi_index, op4_nn_descent, op5_byte_bpe, op6_substring_dedup, op7_pii,
-        op8_quality, op9_simhash, op10_url_filter, op11_whitening, op12_trie_frontier)}
+        op8_quality, op9_simhash, op10_url_filter, op11_whitening, op12_trie_frontier, op13_byte_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.oracle(), "op10_url_filter": url_filter.oracle()}
+    return {
+        "op2_line_dedup": line_dedup.oracle(), "op10_url_filter": url_filter.oracle(), "op12_trie_frontier": spelling.oracle()}

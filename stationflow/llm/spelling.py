@@ -78,7 +78,8 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
                 if len(held) >= HELD:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     texts = in_small_batches(docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text"))
     counts = texts.where("text IS NOT NULL").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
