@@ -41,7 +41,7 @@ from stationflow.llm.batches import in_small_batches
 
 LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
 DAMAGED = 31  # runs whose hash this divides lose a character
-HELD = 200_000  # words a task counts before it hands them on
+HELD = 50_000  # words a task counts before it hands them on
 LONG_TEXT = 1 << 20
 SINGLE = 16  # words of up to so many characters have edges of one character
 HOT, MOST_HOT = 10_000, 5_000  # words through a node before it is split; nodes that can be split
@@ -124,13 +124,20 @@ def _at_level(walks: DataFrame, level: int) -> DataFrame:
 
 
 def _edges(passing: DataFrame) -> DataFrame:
-    """node, label, child, below; the edge that ends a word has no child and names the word and its count."""
+    """node, edges: label, child and below; the edge that ends a word has no child and names the word and its count.
+
+    Edges of one character come as one array per node, bounded by the alphabet; longer ones each in a row of their own.
+    """
     after = F.col("at") + F.col("block")
+    goes_on = ~F.col("ends")
     rows = passing.select(
-        "node", F.substring("word", F.col("at") + 1, F.col("block")).alias("label"), F.when(~F.col("ends"), _node(after)).alias("child"),
-        F.when(F.col("ends"), F.col("word")).alias("other"), F.when(F.col("ends"), F.col("n")).alias("other_n"),
-        F.when(~F.col("ends"), _below(after)).alias("bit"))
-    return rows.groupBy("node", "label", "child", "other", "other_n").agg(F.bit_or("bit").alias("below"))
+        "node", "block", F.substring("word", F.col("at") + 1, F.col("block")).alias("label"),
+        F.when(goes_on, _node(after)).alias("child"), F.when(F.col("ends"), F.col("word")).alias("other"),
+        F.when(F.col("ends"), F.col("n")).alias("other_n"), F.when(goes_on, _below(after)).alias("bit"))
+    rows = rows.groupBy("node", "block", "label", "child", "other", "other_n").agg(F.bit_or("bit").alias("below"))
+    apart = F.when(F.col("block") > 1, F.xxhash64("label", "other")).alias("apart")
+    return rows.groupBy("node", apart).agg(
+        F.collect_list(F.struct("label", "child", "other", "other_n", "below")).alias("edges")).drop("apart")
 
 
 def _hot_nodes(walks: DataFrame) -> DataFrame | None:
@@ -146,7 +153,7 @@ def _hot_nodes(walks: DataFrame) -> DataFrame | None:
 
 
 def _met(states: DataFrame, edges: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Every state with every edge of its node."""
+    """Every state with the edges of its node."""
     if hot is None:
         return states.join(edges, "node")
     parts = F.coalesce("parts", F.lit(1))
@@ -159,27 +166,37 @@ def _met(states: DataFrame, edges: DataFrame, hot: DataFrame | None) -> DataFram
 
 def _step(met: DataFrame) -> DataFrame:
     """States after their edge: with the child as node, or, with ``other`` set, at the end of a word."""
-    label, at, size = F.col("label"), F.col("at"), F.length("label")
-    ends, edited = F.col("other").isNotNull(), F.col("edits") == 1
-    # where the edge ends a word, all that is left of the state's word counts
-    left = F.length("word") - at
-    same = F.substring("word", at + 1, size)
-    longer = F.substring("word", at + 1, size + 1)
-    fits = F.when(ends, left == size).otherwise(left >= size)
-    fits_longer = F.when(ends, left == size + 1).otherwise(left >= size + 1)
-    single = (size == 1) & ~ends
-    replaced = fits & (label > same) & (single | (F.levenshtein(label, same, 1) == 1))
-    dropped = fits_longer & (ends | (label != same)) & F.when(
-        single, label == F.substring("word", at + 2, F.lit(1))).otherwise(F.levenshtein(label, longer, 1) == 1)
-
-    def reaching(to: Column) -> Column:
-        return ends | (_below(to).bitwiseAND(F.col("below")) != 0)
-
-    moves = F.when(edited, F.array(F.when(fits & (label == same) & reaching(at + size), at + size))).otherwise(
-        F.array(F.when(replaced & reaching(at + size), at + size), F.when(dropped & reaching(at + size + 1), at + size + 1)))
-    rows = met.withColumn("moves", F.array_compact(moves)).where(F.size("moves") > 0)
-    return rows.select("word", "n", "back", "block", F.col("child").alias("node"), F.explode("moves").alias("at"),
-                       F.lit(1).alias("edits"), "other", "other_n")
+    at, block, edited = F.col("at"), F.col("block"), F.col("edits") == 1
+    # what the word says from here on, once for all edges; a node with one edge has nothing but the word's own
+    said = met.where(edited | (block > 1) | (F.size("edges") > 1)).select(
+        "word", "n", "back", "block", "at", "edits", (F.length("word") - at).alias("left"),
+        F.substring("word", at + 1, block).alias("own"), F.substring("word", at + 1, block + 1).alias("longer"),
+        F.substring("word", at + 2, F.lit(1)).alias("second"), _below(at + block).alias("after_own"),
+        _below(at + block + 1).alias("after_longer"), "edges")
+    rows = said.select("*", F.explode("edges").alias("e")).drop("edges")
+    label, own, longer, left = F.col("e.label"), F.col("own"), F.col("longer"), F.col("left")
+    ends, size = F.col("e.other").isNotNull(), F.length("e.label")
+
+    def reaching(bit: str) -> Column:
+        return F.col(bit).bitwiseAND(F.col("e.below")) != 0
+
+    single = block == 1
+    # an edge that goes on has as many characters as all edges of its class
+    kept = (left >= block) & (label == own) & reaching("after_own")
+    replaced = (left >= block) & (label > own) & reaching("after_own") & (single | (F.levenshtein(label, own, 1) == 1))
+    dropped = (left > block) & (label != own) & reaching("after_longer") & F.when(
+        single, label == F.col("second")).otherwise(F.levenshtein(label, longer, 1) == 1)
+    # an edge that ends a word has fewer, and must hold all the rest of the state's word
+    kept_end = (left == size) & (label == longer)
+    replaced_end = (left == size) & (label > longer) & (F.levenshtein(label, longer, 1) == 1)
+    dropped_end = (left == size + 1) & (F.levenshtein(label, longer, 1) == 1)
+    stay, skip = at + size, at + size + 1
+    moves = F.when(edited, F.array(F.when(F.when(ends, kept_end).otherwise(kept), stay))).when(
+        ends, F.array(F.when(replaced_end | dropped_end, stay))).otherwise(
+        F.array(F.when(replaced, stay), F.when(dropped, skip)))
+    moved = rows.withColumn("moves", F.array_compact(moves)).where(F.size("moves") > 0)
+    return moved.select("word", "n", "back", "block", F.col("e.child").alias("node"), F.explode("moves").alias("at"),
+                        F.lit(1).alias("edits"), F.col("e.other").alias("other"), F.col("e.other_n").alias("other_n"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -203,7 +220,7 @@ def near_words(words: DataFrame) -> DataFrame:
         return words.select("word", "n", F.col("word").alias("other"), F.col("n").alias("other_n")).limit(0)
     right_way = found.select(*[
         F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "other")], "n", "other_n")
-    pairs = right_way.where(F.levenshtein("word", "other", 1) == 1)
+    pairs = staged(right_way.where(F.levenshtein("word", "other", 1) == 1))
     turned = pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"),
                           F.col("word").alias("other"), F.col("n").alias("other_n"))
     return pairs.unionByName(turned.select(*pairs.columns)).distinct()
