@@ -35,7 +35,9 @@ from stationflow.plans import forecast_reports as FR  # noqa: E402
 from stationflow.plans import station_reports as SR  # noqa: E402
 from stationflow.plans.backtest import rolling_backtest  # noqa: E402
 from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predict, model_rows, sorted_comparison  # noqa: E402
-from stationflow.plans.models import NEIGHBOURS, TRIAL_COUNTS, model_zoo, pick_model  # noqa: E402
+from stationflow.plans.models import (  # noqa: E402
+    NEIGHBOURS, TRIAL_COUNTS, ModelSpec, extra_trees_like, model_zoo, pick_model,
+)
 from stationflow.shipping import ship_package  # noqa: E402
 from stationflow.sources import driver_tables as D  # noqa: E402
 from stationflow.sources.readers import load_station_day  # noqa: E402
@@ -48,10 +50,19 @@ except ImportError:
 
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, REPORT, BACKTEST = D.WINDOW, D.REPORT, BacktestConfig()
-# Ensembles are the small ones of the trial zoo, under names that state their own counts; the models
-# of full size are in ``model_zoo()``. The rows they read are all there are.
-MODELS = model_zoo(counts=TRIAL_COUNTS)
-TREES_PER_FOLD = 4
+# The comparison of all ensembles takes the small ones of the trial zoo, under names that state their own counts;
+# predict_extra_trees and backtest_model run the trees at full count. The rows they read are all there are.
+MODELS, FULL = model_zoo(counts=TRIAL_COUNTS), model_zoo()
+# Trees, depth and leaves that a SQL twin can spell out.
+TEN_TREES = ModelSpec("ExtraTrees_10_depth40", "extra_trees", dict(trees=10, deepest=40, seed=7))
+SIX_LEVELS = ModelSpec("ExtraTrees_3_depth6", "extra_trees", dict(trees=3, deepest=6, seed=7, local_rows=0))
+FOLD_TREES = ModelSpec("ExtraTrees_2_depth10", "extra_trees", dict(trees=2, deepest=10, seed=7))
+TWO_ROUNDS = dict(rounds=2, rate=0.05, leaves=12, min_leaf=20, l2=1e-3)
+HISTOGRAM = ModelSpec("HGB_2_leaves12", "boosting", TWO_ROUNDS)
+HISTOGRAM_PASSES = ModelSpec("HGB_2_leaves12_passes", "boosting", TWO_ROUNDS | {"local_rows": 0})
+GRADIENT = ModelSpec("GradientBoosting_2_depth3_sub0.8", "boosting", dict(
+    rounds=2, rate=0.05, deepest=3, leaves=8, min_leaf=1, subsample=0.8, seed=7))
+ONE_FEATURE = ("y_roll_mean_28",)
 # Texts of a flag column.
 FLAG_TEXTS = ("true", "False", "1", "0", "", "yes", "n/a", "0.0")
 ANY_STATION = replace(WINDOW, coverage_threshold=0.0, min_valid_days=0)
@@ -152,8 +163,15 @@ def winsorized_ratio_bounds(spark, sf) -> DataFrame:
     return SR.winsorized_ratio(_days(spark, sf), WINDOW).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _bench(spark, sf, vectors: bool = False) -> Workbench:
-    return Workbench(model_rows(_panel(spark, sf)), with_vectors=vectors)
+def _bench(spark, sf, features=FEATURES) -> Workbench:
+    return Workbench(model_rows(_panel(spark, sf)), features)
+
+
+def _model_scores(spark, sf, spec: ModelSpec, features=FEATURES) -> DataFrame:
+    bench = _bench(spark, sf, features)
+    predicted = bench.predict(bench.holdout, spec, "p")
+    return S.score_long(S.column_predictions(predicted, {spec.name: "p"})).select(
+        "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
 
 
 def dummy_mean_scores(spark, sf) -> DataFrame:
@@ -165,7 +183,7 @@ def dummy_mean_scores(spark, sf) -> DataFrame:
 
 def station_effects_scores(spark, sf) -> DataFrame:
     """Least squares on one feature with an effect per station."""
-    bench = Workbench(model_rows(_panel(spark, sf)), ("y_roll_mean_28",), with_vectors=False)
+    bench = _bench(spark, sf, ONE_FEATURE)
     predicted = bench.predict(bench.holdout, MODELS["LinearRegression"], "p")
     return S.score_long(S.column_predictions(predicted, {"station_effects": "p"})).select(
         "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
@@ -187,7 +205,7 @@ def knn_exact_scores(spark, sf) -> DataFrame:
 
 def ridge_scores(spark, sf) -> DataFrame:
     """Ridge on one feature with a shrunk effect per station."""
-    bench = Workbench(model_rows(_panel(spark, sf)), ("y_roll_mean_28",), with_vectors=False)
+    bench = _bench(spark, sf, ONE_FEATURE)
     predicted = bench.predict(bench.holdout, MODELS["Ridge_a1"], "p")
     return S.score_long(S.column_predictions(predicted, {"ridge": "p"})).select(
         "model", "split", *[F.col(f"`{c}`") for c in S.score_columns([""])])
@@ -311,12 +329,24 @@ REGISTRY: dict[str, Query] = {
     "win_rate": lambda s, d: FR.win_rate(_examples(s, d)),
     "system_total_forecast_weekly": lambda s, d: FR.system_total_forecast_weekly(_predictions(s, d)),
     "bakeoff_linear": lambda s, d: _compare(s, d, {"mean", "station_linear", "penalized", "huber"}),
-    "bakeoff_trees": lambda s, d: _compare(s, d, {"forest", "boosting"}),
+    "bakeoff_trees": lambda s, d: _compare(s, d, {"forest", "boosting", "extra_trees"}),
     "predict_extra_trees_like": lambda s, d: fit_and_predict(
-        _panel(s, d), pick_model(MODELS, "ExtraTrees_6_leaf1")).withColumn("model", F.lit("ExtraTrees_6_leaf1")),
-    "backtest_model": lambda s, d: rolling_backtest(
-        _panel(s, d), replace(BACKTEST, n_estimators=TREES_PER_FOLD, parallel_fits=4),
-    ).withColumn("n_estimators", F.lit(TREES_PER_FOLD)),
+        _panel(s, d), ModelSpec("extra_trees_like_6", "forest", extra_trees_like(6, 1, 7))).withColumn(
+        "model", F.lit("extra_trees_like_6")),
+    "predict_extra_trees": lambda s, d: fit_and_predict(
+        _panel(s, d), pick_model(FULL, "ExtraTrees_600_leaf1")).withColumn("model", F.lit("ExtraTrees_600_leaf1")),
+    "backtest_model": lambda s, d: rolling_backtest(_panel(s, d), BACKTEST).withColumn(
+        "n_estimators", F.lit(BACKTEST.n_estimators)),
+    "extra_trees_scores": lambda s, d: _model_scores(s, d, TEN_TREES),
+    "extra_trees_levels_scores": lambda s, d: _model_scores(s, d, SIX_LEVELS),
+    "backtest_extra_trees": lambda s, d: rolling_backtest(_complete(s, d), BACKTEST, spec=FOLD_TREES),
+    "hist_boosting_scores": lambda s, d: _model_scores(s, d, HISTOGRAM),
+    "hist_boosting_passes_scores": lambda s, d: _model_scores(s, d, HISTOGRAM_PASSES),
+    "gradient_boosting_scores": lambda s, d: _model_scores(s, d, GRADIENT),
+    "lasso_scores": lambda s, d: _model_scores(s, d, FULL["Lasso_a0.01"], ONE_FEATURE),
+    "elastic_net_scores": lambda s, d: _model_scores(s, d, FULL["ElasticNet_a0.01_l1r0.5"], ONE_FEATURE),
+    "huber_scores": lambda s, d: _model_scores(s, d, ModelSpec("Huber_8_steps", "huber", {"steps": 8, "still": 0.0}), ONE_FEATURE),
+    "backtest_ridge": lambda s, d: rolling_backtest(_complete(s, d), BACKTEST, ONE_FEATURE, FULL["Ridge_a1"]),
     "direction_day_dates": lambda s, d: H.direction_day(H.lane_totals(D.hourly_dates(s, d))),
     "station_day_loaded": station_day_loaded,
     "valid_day_flags": valid_day_flags,

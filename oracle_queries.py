@@ -6,6 +6,9 @@ one-pass aggregates, range joins in place of fold arithmetic.
 
 from __future__ import annotations
 
+import oracle_linear as OL
+import oracle_trees as OT
+
 HOURS = range(1, 25)
 START, END = "DATE '1998-01-01'", "DATE '2001-06-30'"
 TRAIN_END, VAL_END = "DATE '2000-06-30'", "DATE '2000-12-31'"
@@ -247,14 +250,14 @@ def folds(step: int = 56, horizon: int = 28, min_train: int = 365) -> list[str]:
              CAST(test_start + {horizon - 1} AS DATE) AS test_end FROM fold_dates)"""]
 
 
-def backtest(model: str = "y_roll_mean_7") -> list[str]:
+def backtest(model: str = "y_roll_mean_7", rows: str = "folds JOIN complete ON date BETWEEN test_start AND test_end") -> list[str]:
     vy, vm, vb = volume("y"), volume(model), volume("y_lag_7")
     return [f"""bt AS (
       SELECT fold, train_end, test_start, test_end, count(*) AS rows_test, count(DISTINCT station_id) AS stations_test,
              {smape("y", "y_lag_7")} AS y_smape_base, {smape("y", model)} AS y_smape_et,
              {smape(vy, vb)} AS vol_smape_base, {smape(vy, vm)} AS vol_smape_et,
              {rmse(vy, vb)} AS vol_rmse_base, {rmse(vy, vm)} AS vol_rmse_et
-      FROM folds JOIN complete ON date BETWEEN test_start AND test_end GROUP BY 1, 2, 3, 4)""", """backtest AS (
+      FROM {rows} GROUP BY 1, 2, 3, 4)""", """backtest AS (
       SELECT *, y_smape_base - y_smape_et AS y_smape_improve_pp, vol_smape_base - vol_smape_et AS vol_smape_improve_pp,
              100.0 * (vol_rmse_base - vol_rmse_et) / greatest(vol_rmse_base, 1e-9) AS vol_rmse_improve_pct
       FROM bt)"""]
@@ -390,8 +393,17 @@ RIDGE = ["""sums AS (
            (SELECT avg(y_roll_mean_28) AS m, stddev_pop(y_roll_mean_28) AS d FROM complete WHERE split = 'train'))"""]
 
 
+HISTOGRAM = OT.boosted(FEATURES, 2, 12, 20, 1e-3, 0.05)
+
+
+def fold_predictions(source: str, fold: str) -> list[str]:
+    """The fold table of a model whose predictions stand in ``source`` (fold, station, date, p)."""
+    return backtest("p", f"""folds JOIN complete ON date BETWEEN test_start AND test_end
+      JOIN (SELECT {fold} AS fold, station_id, date, p FROM {source}) USING (fold, station_id, date)""")
+
+
 def q(ctes: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
 def oracle_sql() -> dict[str, str]:
@@ -419,6 +431,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_suppkey, count(*) AS n_rows, count(*) FILTER (WHERE l_discount <> 0) AS n_finite,
                    max(CASE WHEN l_discount <> 0 THEN CAST(l_quantity AS DOUBLE) / CAST(l_discount AS DOUBLE) END) AS largest
             FROM lineitem GROUP BY 1)""",
+        "extra_trees_scores": q(fx4 + OT.extra_trees(FEATURES, 10, 40, 7) + long_form({"ExtraTrees_10_depth40": "p"}, "et"),
+                                scores("", False)),
+        "extra_trees_levels_scores": q(fx4 + OT.extra_trees(FEATURES, 3, 6, 7) + long_form({"ExtraTrees_3_depth6": "p"}, "et"),
+                                       scores("", False)),
+        "backtest_extra_trees": q(
+            fx4 + folds() + OT.extra_trees(FEATURES, 2, 10, 7, source=OT.FOLD_ROWS) + fold_predictions("et", "forest"),
+            f"SELECT {BACKTEST_OUT} FROM backtest"),
+        "hist_boosting_scores": q(fx4 + HISTOGRAM + long_form({"HGB_2_leaves12": "p"}, "hb"), scores("", False)),
+        "hist_boosting_passes_scores": q(fx4 + HISTOGRAM + long_form({"HGB_2_leaves12_passes": "p"}, "hb"), scores("", False)),
+        "gradient_boosting_scores": q(
+            fx4 + OT.boosted(FEATURES, 2, 8, 1, 0.0, 0.05, 3, 0.8) + long_form({"GradientBoosting_2_depth3_sub0.8": "p"}, "hb"),
+            scores("", False)),
+        "lasso_scores": q(fx4 + OL.sweeps(0.01, 1.0) + long_form({"Lasso_a0.01": "p"}, "swept"), scores("", False)),
+        "elastic_net_scores": q(fx4 + OL.sweeps(0.01, 0.5) + long_form({"ElasticNet_a0.01_l1r0.5": "p"}, "swept"),
+                                scores("", False)),
+        "huber_scores": q(fx4 + OL.huber(8) + long_form({"Huber_8_steps": "p"}, "hub"), scores("", False)),
+        "backtest_ridge": q(fx4 + folds() + OL.fold_ridge(1.0) + fold_predictions("fold_fit", "fold"),
+                            f"SELECT {BACKTEST_OUT} FROM backtest"),
         "ridge_scores": q(fx4 + RIDGE + long_form({"ridge": "p"}, "ridge"), scores("", False)),
         "comparison_ranked": q(base, f"""SELECT model, row_number() OVER (ORDER BY v) AS place, round(v, 6) AS "test_VOL_RMSE"
             FROM (SELECT 'BASELINE::' || model AS model, {rmse(volume("y"), volume("yhat"))} AS v FROM preds

@@ -44,4 +44,16 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stationflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame._staged_at = path
+    return frame
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a table that ``staged`` made, once nothing will read it again."""
+    path = getattr(frame, "_staged_at", None)
+    if path is None:
+        return
+    spark = frame.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

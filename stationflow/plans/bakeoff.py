@@ -5,22 +5,26 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.config import BASELINES, FEATURES
 from stationflow.functions.cleaning import drop_incomplete
-from stationflow.lineage import settle
-from stationflow.operators.encoding import Scaling, is_hashed, station_columns
-from stationflow.operators.least_squares import StationSums, fit_station_linear
+from stationflow.lineage import settle, staged
+from stationflow.operators.encoding import Scaling, is_hashed, numeric, station_columns
+from stationflow.operators.extra_trees import TreeSettings, predict_forests, tree_rows
+from stationflow.operators.hist_boosting import BoostSettings, boosted, predict_boosted
+from stationflow.operators.least_squares import StationLinear, StationSums, fit_station_linear
 from stationflow.operators.neighbours import nearest, neighbour_means
+from stationflow.operators.penalised import Penalty, fit_penalised
 from stationflow.operators.predictions import tidy_predictions
+from stationflow.operators.robust import fit_huber
 from stationflow.operators.scoring import (
     SPLITS, column_predictions, comparison_columns, comparison_wide, score_long,
 )
-from stationflow.plans.models import ModelSpec, TargetStats, model_zoo, vector_estimator
+from stationflow.plans.models import EARLY_STOP_ROWS, ModelSpec, model_zoo, vector_estimator
 
-VECTOR_KINDS = {"penalized", "huber", "forest", "boosting", "xgboost"}
+VECTOR_KINDS = {"forest", "xgboost"}
 
 
 def model_rows(panel: DataFrame, features: Sequence[str] = FEATURES, target: str = "y",
@@ -31,37 +35,86 @@ def model_rows(panel: DataFrame, features: Sequence[str] = FEATURES, target: str
     )))
 
 
+def _tree_inputs(rows: DataFrame, features: Sequence[str], target: str, row: Column, weight: int) -> DataFrame:
+    raw = rows.withColumns({f: numeric(f) for f in features})
+    return tree_rows(raw, features, target, F.lit(0), row, F.lit(weight))
+
+
+def predict_boosted_rows(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, spec: ModelSpec, out: str,
+                         key: str) -> DataFrame:
+    """``rows`` with the prediction of a boosted model fitted on ``train``; ``key`` tells rows apart.
+
+    Train rows are drawn and held out by station and day, so that it does not matter how they were dealt out.
+    """
+    place = F.col("station_id") * 100_000 + F.unix_date("date")
+    raw = train.withColumns({f: numeric(f) for f in features})
+    fitted = staged(raw.select(
+        place.alias("row"), F.col("station_id").alias("station"), F.col(target).alias("y"),
+        *[F.col(f).cast("float").cast("double").alias(f"x{i}") for i, f in enumerate(features)]))
+    settings = dict(spec.params)
+    if settings.get("patience") and fitted.count() <= EARLY_STOP_ROWS:
+        settings["patience"] = 0
+    model = boosted(fitted, len(features), BoostSettings(**settings))
+    found = predict_boosted(_tree_inputs(rows, features, target, F.col(key), 0), len(features), model)
+    return rows.join(found.select(F.col("row").alias(key), F.col("yhat").alias(out)), key, "left")
+
+
 class Workbench:
-    """Encoded rows shared by all models of one comparison: encoded once, written once."""
+    """Scaled rows shared by all models of one comparison: scaled once, written once.
+
+    Models that need vectors (MLlib's) get them in ``vectors``, fitted on the train rows when first asked for.
+    ``penalties`` are fitted side by side when the first of them is asked for.
+    """
 
     def __init__(self, rows: DataFrame, features: Sequence[str] = FEATURES, target: str = "y",
-                 with_vectors: bool = True) -> None:
-        self.target = target
+                 penalties: Sequence[tuple[float, float]] = ()) -> None:
+        self.target, self.features = target, tuple(features)
         rows = settle(rows)
         train = rows.where(F.col("split") == "train")
         self.scaling = Scaling.fit(train, features)
         self.inputs = self.scaling.columns
-        encoded = self.scaling.apply(rows)
-        self.hashed = False
-        if with_vectors:
-            encoder = station_columns(self.scaling.apply(train), self.inputs)
-            self.hashed = is_hashed(encoder)
-            encoded = encoder.transform(encoded).drop("station_idx", "station_vec")
-        encoded = settle(encoded.withColumn("qid", F.monotonically_increasing_id()))
+        encoded = settle(self.scaling.apply(rows).withColumn("qid", F.monotonically_increasing_id()))
         self.train = encoded.where(F.col("split") == "train")
         self.holdout = encoded.where(F.col("split").isin(*SPLITS))
-        self._stats: TargetStats | None = None
+        self.penalties = list(dict.fromkeys(penalties))
+        self.hashed = False
+        self._encoder = None
+        self._vectors: DataFrame | None = None
         self._sums: StationSums | None = None
+        self._penalised: dict[tuple[float, float], StationLinear] = {}
         self._near: tuple[int, DataFrame] | None = None
 
+    def sums(self) -> StationSums:
+        if self._sums is None:
+            self._sums = StationSums.collect(self.train, self.inputs, self.target)
+        return self._sums
+
+    def penalised(self, alpha: float, l1_ratio: float) -> StationLinear:
+        wanted = (alpha, l1_ratio)
+        if wanted not in self._penalised:
+            several = self.penalties if wanted in self.penalties else [wanted]
+            models = fit_penalised(self.sums(), [Penalty(a * ratio, a * (1 - ratio)) for a, ratio in several])
+            self._penalised |= dict(zip(several, models))
+        return self._penalised[wanted]
+
+    def vectors(self) -> DataFrame:
+        """The train rows with ``features`` as one vector."""
+        if self._vectors is None:
+            self._encoder = station_columns(self.train, self.inputs)
+            self.hashed = is_hashed(self._encoder)
+            self._vectors = settle(self._encoder.transform(self.train).drop("station_idx", "station_vec"))
+        return self._vectors
+
     def predict(self, rows: DataFrame, spec: ModelSpec, out: str, most_neighbours: int = 0) -> DataFrame:
         """Fits ``spec`` on the train rows and adds its prediction of ``rows`` as column ``out``."""
         if spec.kind == "mean":
             return rows.withColumn(out, F.lit(float(self.train.agg(F.avg(self.target)).first()[0])))
         if spec.kind == "station_linear":
-            if self._sums is None:
-                self._sums = StationSums.collect(self.train, self.inputs, self.target)
-            return fit_station_linear(self._sums, spec.params["alpha"]).predict(rows, out)
+            return fit_station_linear(self.sums(), spec.params["alpha"]).predict(rows, out)
+        if spec.kind == "penalized":
+            return self.penalised(spec.params["alpha"], spec.params["l1_ratio"]).predict(rows, out)
+        if spec.kind == "huber":
+            return fit_huber(self.train, self.inputs, self.target, **spec.params).model.predict(rows, out)
         if spec.kind == "neighbours":
             k = spec.params["k"]
             if self._near is None or self._near[0] < k:
@@ -70,10 +123,15 @@ class Workbench:
                     nearest(self.train, self.holdout, self.inputs, widest, self.target)))
             means = neighbour_means(self._near[1], [k]).select("qid", F.col(spec.name).alias(out))
             return rows.join(means, "qid", "left")
-        if self._stats is None:
-            self._stats = TargetStats.collect(self.train, self.target)
-        model = vector_estimator(spec, self._stats, self.target, out).fit(self.train)
-        return model.transform(rows)
+        if spec.kind == "extra_trees":
+            both = _tree_inputs(self.train, self.features, self.target, F.col("qid"), 1).unionByName(
+                _tree_inputs(rows, self.features, self.target, F.col("qid"), 0))
+            found = predict_forests(both, len(self.features), TreeSettings(**spec.params))
+            return rows.join(found.select(F.col("row").alias("qid"), F.col("yhat").alias(out)), "qid", "left")
+        if spec.kind == "boosting":
+            return predict_boosted_rows(self.train, rows, self.features, self.target, spec, out, "qid")
+        model = vector_estimator(spec, self.target, out).fit(self.vectors())
+        return model.transform(self._encoder.transform(rows))
 
     def notes(self, spec: ModelSpec) -> str:
         hashed = "stations hashed" if self.hashed and spec.kind in VECTOR_KINDS else ""
@@ -99,7 +157,8 @@ def evaluate_models(panel: DataFrame, features: Sequence[str] = FEATURES, target
     """
     zoo = model_zoo(seed) if zoo is None else dict(zoo)
     rows = model_rows(panel, features, target, baselines)
-    bench = Workbench(rows, features, target, any(s.kind in VECTOR_KINDS for s in zoo.values()))
+    bench = Workbench(rows, features, target, [
+        (s.params["alpha"], s.params["l1_ratio"]) for s in zoo.values() if s.kind == "penalized"])
     most = max((s.params["k"] for s in zoo.values() if s.kind == "neighbours"), default=0)
     about: list[tuple[str, float | None, str]] = []
     sources: dict[str, str] = {}
@@ -139,5 +198,5 @@ def fit_and_predict(panel: DataFrame, spec: ModelSpec, features: Sequence[str] =
     rows = drop_incomplete(panel, list(dict.fromkeys(
         [*features, "station_id", target, base_col, "station_volume", "split"]
     )))
-    bench = Workbench(rows, features, target, spec.kind in VECTOR_KINDS)
+    bench = Workbench(rows, features, target)
     return tidy_predictions(bench.predict(bench.holdout, spec, "prediction"), "prediction", base_col, target)

@@ -5,15 +5,15 @@ from __future__ import annotations
 import importlib.util
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.ml.regression import RandomForestRegressor
 
 # Penalties, neighbour counts, and (below) the names and settings of the zoo.
 PENALTIES = (1e-4, 3e-4, 1e-3, 3e-3, 1e-2)
 NEIGHBOURS = (10, 25, 50, 100)
 MAX_BINS = 256
 DEEPEST = 30
+# Histogram boosting ends early where train rows are more than so many and a held-out tenth has not gained for so many rounds.
+EARLY_STOP_ROWS, PATIENCE = 10_000, 10
 
 
 @dataclass(frozen=True)
@@ -60,17 +60,16 @@ def model_zoo(seed: int = 7, counts: TreeCounts = TreeCounts()) -> dict[str, Mod
         ModelSpec(f"RandomForest_{counts.forest}_leaf2", "forest", dict(
             numTrees=counts.forest, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=DEEPEST, seed=seed),
             "depth limit 30"),
-        ModelSpec(f"ExtraTrees_{counts.extra}_leaf1", "forest", extra_trees_like(counts.extra, 1, seed),
-                  "extra_trees_like: no bootstrap, random thirds of the features, depth limit 30"),
+        ModelSpec(f"ExtraTrees_{counts.extra}_leaf1", "extra_trees", dict(trees=counts.extra, min_leaf=1, seed=seed)),
         ModelSpec(f"GradientBoosting_{counts.boosting}_lr0.05_depth3_sub0.8", "boosting", dict(
-            maxIter=counts.boosting, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=seed)),
+            rounds=counts.boosting, rate=0.05, deepest=3, leaves=8, min_leaf=1, subsample=0.8, seed=seed),
+            "splits at 254 quantiles of each feature"),
         ModelSpec(f"HGB_d6_lr0.05_it{h[0]}_leaf50_l2e-6", "boosting", dict(
-            maxIter=h[0], stepSize=0.05, maxDepth=6, minInstancesPerNode=50, seed=seed), "no l2 term"),
+            rounds=h[0], rate=0.05, deepest=6, leaves=31, min_leaf=50, l2=1e-6, patience=PATIENCE, seed=seed)),
         ModelSpec(f"HGB_leaf20_lr0.05_it{h[1]}_d6_l2e-3", "boosting", dict(
-            maxIter=h[1], stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=seed), "no l2 term"),
+            rounds=h[1], rate=0.05, deepest=6, leaves=31, min_leaf=20, l2=1e-3, patience=PATIENCE, seed=seed)),
         ModelSpec(f"HGB_leaf20_lr0.05_it{h[2]}_nodes63_l2e-3", "boosting", dict(
-            maxIter=h[2], stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=seed),
-            "63 leaves taken as depth 6; no l2 term"),
+            rounds=h[2], rate=0.05, leaves=63, min_leaf=20, l2=1e-3, patience=PATIENCE, seed=seed)),
     ]
     if importlib.util.find_spec("xgboost") is not None:
         common = dict(reg_lambda=1.0, objective="reg:squarederror", random_state=seed)
@@ -86,8 +85,9 @@ def model_zoo(seed: int = 7, counts: TreeCounts = TreeCounts()) -> dict[str, Mod
 
 
 def extra_trees_like(trees: int, min_leaf: int, seed: int) -> dict:
-    """Closest forest to extremely randomized trees: every tree sees all rows, randomness comes from
-    the feature subset at each node. With all features and no bootstrap the trees would be equal."""
+    """MLlib's closest forest to extremely randomized trees: every tree sees all rows, randomness comes from
+    the feature subset at each node. With all features and no bootstrap the trees would be equal. The
+    zoo has the trees themselves (``operators.extra_trees``); this stands beside them for comparison."""
     return dict(numTrees=trees, minInstancesPerNode=min_leaf, bootstrap=False, subsamplingRate=1.0,
                 featureSubsetStrategy="onethird", maxDepth=DEEPEST, seed=seed)
 
@@ -98,41 +98,11 @@ def pick_model(zoo: dict[str, ModelSpec], name: str) -> ModelSpec:
     return zoo[name]
 
 
-@dataclass(frozen=True)
-class TargetStats:
-    """Row count and population deviation of the train target; penalties are scaled by them."""
-
-    n: int
-    deviation: float
-
-    @classmethod
-    def collect(cls, train: DataFrame, target: str) -> TargetStats:
-        row = train.agg(F.count(target), F.stddev_pop(target)).first()
-        return cls(int(row[0]), float(row[1]))
-
-
-def vector_estimator(spec: ModelSpec, stats: TargetStats | None, target: str, out: str):
-    """MLlib estimator over ``features``, with penalties converted to MLlib's scale.
-
-    ``stats`` is needed for the penalized and the robust linear models only.
-    """
+def vector_estimator(spec: ModelSpec, target: str, out: str):
+    """MLlib estimator over ``features``."""
     io = dict(featuresCol="features", labelCol=target, predictionCol=out)
-    if spec.kind == "penalized":
-        # One pass over the rows builds the normal equations; the many iterations that collinear
-        # station and lag columns need then run on that small matrix, with no job each. MLlib
-        # divides the squared penalty by the (population) deviation of the target.
-        l1 = spec.params["alpha"] * spec.params["l1_ratio"]
-        l2 = spec.params["alpha"] * (1.0 - spec.params["l1_ratio"]) * stats.deviation
-        return LinearRegression(regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), standardization=False,
-                                solver="normal", maxIter=100_000, tol=1e-13, **io)
-    if spec.kind == "huber":
-        return LinearRegression(loss="huber", epsilon=spec.params["epsilon"], solver="l-bfgs",
-                                regParam=spec.params["alpha"] / stats.n, standardization=False,
-                                maxIter=1000, tol=1e-8, **io)
     if spec.kind == "forest":
         return RandomForestRegressor(maxBins=MAX_BINS, **spec.params, **io)
-    if spec.kind == "boosting":
-        return GBTRegressor(maxBins=MAX_BINS, **spec.params, **io)
     if spec.kind == "xgboost":
         from xgboost.spark import SparkXGBRegressor
 

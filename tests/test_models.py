@@ -12,7 +12,7 @@ from stationflow.operators.least_squares import StationSums, fit_station_linear
 from stationflow.operators.neighbours import nearest, neighbour_means
 from stationflow.plans.backtest import rolling_backtest
 from stationflow.plans.bakeoff import Workbench, evaluate_models, fit_and_predict, model_rows, sorted_comparison
-from stationflow.plans.models import TRIAL_COUNTS, ModelSpec, model_zoo, pick_model, vector_estimator
+from stationflow.plans.models import TRIAL_COUNTS, ModelSpec, extra_trees_like, model_zoo, pick_model, vector_estimator
 
 
 @pytest.fixture(scope="module")
@@ -134,7 +134,7 @@ def test_neighbour_plan_has_no_cross_join(bench):
 def test_zoo_names():
     zoo = model_zoo()
     assert len(zoo) == 28 and {"Lasso_a0.0001", "ElasticNet_a0.003_l1r0.5", "KNN_k25_dist"} <= set(zoo)
-    assert zoo["ExtraTrees_600_leaf1"].params["numTrees"] == 600
+    assert zoo["ExtraTrees_600_leaf1"].params["trees"] == 600
     with pytest.raises(ValueError, match="Unknown model 'x'. Available"):
         pick_model(zoo, "x")
 
@@ -166,7 +166,7 @@ class _FailsLate:
 def test_a_model_that_fails_without_message_or_while_predicting_stays_alone(synthetic_panel, monkeypatch):
     import stationflow.plans.bakeoff as bakeoff
 
-    def estimator(spec, stats, target, out):
+    def estimator(spec, target, out):
         if spec.name == "Silent":
             raise AssertionError
         return _FailsLate()
@@ -188,8 +188,8 @@ def test_trees_beat_the_mean_and_repeat(synthetic_panel):
 
 
 def test_trees_of_the_forest_differ(bench):
-    spec = model_zoo(counts=TRIAL_COUNTS)["ExtraTrees_6_leaf1"]
-    model = vector_estimator(spec, None, "y", "p").fit(bench.train)
+    spec = ModelSpec("like", "forest", extra_trees_like(6, 1, 7))
+    model = vector_estimator(spec, "y", "p").fit(bench.vectors())
     assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) == len(model.trees) == 6
 
 

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.01"
 TABLES = "nation supplier lineitem".split()
-NO_SQL = {"bakeoff_linear", "bakeoff_trees", "predict_extra_trees_like", "backtest_model"}
+NO_SQL = {"bakeoff_linear", "bakeoff_trees", "predict_extra_trees_like", "predict_extra_trees", "backtest_model"}
 
 
 def test_every_query_but_fitted_models_has_a_twin():
@@ -34,7 +34,9 @@ def comparable(pdf: pd.DataFrame) -> list[tuple]:
     "station_day_text", "eligibility_stats_by_region", "panel_features", "baseline_comparison", "backtest_summary",
     "knn_exact", "dow_profile", "improvement_trend", "win_rate", "direction_day_dates", "station_day_loaded",
     "valid_day_flags", "finite_values", "ridge_scores", "comparison_ranked", "backtest_gap_fold",
-    "backtest_summary_stated", "ratio_to_baseline_weekly_many", "dow_profile_many",
+    "backtest_summary_stated", "ratio_to_baseline_weekly_many", "dow_profile_many", "extra_trees_scores", "extra_trees_levels_scores",
+    "backtest_extra_trees", "hist_boosting_scores", "hist_boosting_passes_scores", "gradient_boosting_scores", "lasso_scores",
+    "elastic_net_scores", "huber_scores", "backtest_ridge",
 ])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
