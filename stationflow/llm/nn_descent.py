@@ -7,12 +7,14 @@ one list meet, and each enters the other's list if it is better than the worst t
 until the lists hardly change.
 
 A list whose worst entry still passes the threshold is saturated. Such lists are doubled, and the
-rounds repeated among saturated nodes and their neighbours, until no list is saturated or lists reach
-LONGEST_LIST; components that still hold a saturated node are then counted exactly, block against
-block, with one row per node and block coming out and never a pair.
+rounds repeated among saturated nodes, until no list is saturated or lists have LONGEST_LIST entries. Nodes whose lists are
+saturated even then stand in crowds; their links among each other are counted exactly, by balls (``crowds``), also
+between crowds that the lists don't connect. A link between a node in a crowd and one that is in none stands in the
+list of the latter.
 
-Links found are audited: AUDIT nodes (those with the least hash) are held against all nodes; while
-fewer than WANTED of their links are known, more random orders are tried.
+What lists hold is audited: AUDIT nodes that are in no crowd (those with the least hash) are held against all nodes; while
+fewer than WANTED of their links are known, more random orders are tried. If that does not help MOST_TRIES times, all
+nodes are counted as a crowd is. So every link is counted exactly, or by lists whose recall has been measured.
 
 Defined cases: null, empty and zero vectors, and those that hold null or non-finite components or
 have another length than most, link with nothing and come out as their own component; rows that
@@ -35,37 +37,28 @@ from pyspark.sql.window import Window
 from stationflow.lineage import settle
 from stationflow.llm import vectors as V
 from stationflow.llm.components import components
+from stationflow.llm.crowds import cosines, counted, unit
 
 THRESHOLD = 0.9
-LIST, LONGEST_LIST, ORDERS, BLOCK, MOST_ROUNDS = 10, 40, 4, 128, 5
+LIST, LONGEST_LIST, ORDERS, BLOCK, MOST_ROUNDS = 10, 40, 4, 256, 5
 STILL = 1e-3  # relative gain of the summed similarities below which rounds end
 AUDIT, WANTED, MOST_TRIES = 200, 0.995, 3
-PAIR_BLOCK = 1024  # nodes of a block when a component is counted exactly
+PAIR_BLOCK = 1024  # nodes of a block when crowds are counted exactly
+ROWS_OF_A_PART = 100_000  # list entries that a partition is meant to hold
 
 _LISTS = "a long, b long, sim double"
 
 
-def unit(vecs, width: int) -> np.ndarray:
-    rows = V.matrix(vecs, width)
-    return rows / np.linalg.norm(rows, axis=1)[:, None] if len(rows) else rows
-
-
-def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return np.clip(left @ right.T, -1.0, 1.0)
-
-
-def _best(pairs: DataFrame, sizes: DataFrame | int) -> DataFrame:
-    """The best entries of every list (a, b, sim); ``sizes`` is a number, or a table node, size."""
+def _best(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """The best entries of every list (a, b, sim), as many as the node's ``size``; dealt by a."""
     own = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    pairs = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(own))
-    if isinstance(sizes, int):
-        return pairs.where(F.col("place") <= sizes).drop("place")
-    sized = pairs.join(sizes.select(F.col("node").alias("a"), "size"), "a")
-    return sized.where(F.col("place") <= F.col("size")).select("a", "b", "sim")
+    dealt = pairs.repartition(parts, "a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    placed = dealt.withColumn("place", F.row_number().over(own))
+    return placed.join(nodes.select(F.col("node").alias("a"), "size"), "a").where("place <= size").select("a", "b", "sim")
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+def _turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
 
 
 def _neighbouring(nodes: DataFrame, width: int, rows: int, seed: int) -> DataFrame:
@@ -98,20 +91,24 @@ def _neighbouring(nodes: DataFrame, width: int, rows: int, seed: int) -> DataFra
     return placed.repartitionByRange("sign", "along").sortWithinPartitions("sign", "along").mapInPandas(blocks, _LISTS)
 
 
-def _meet(lists: DataFrame, nodes: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """Pairs that stand in one list of undirected neighbours and that at least one of them has use for."""
+def _meet(lists: DataFrame, nodes: DataFrame, width: int, parts: int) -> DataFrame:
+    """Pairs of nodes that have a node in common in their lists, and that at least one of them has use for.
+
+    Every node sends its vector to the nodes in its list, and those that arrive at one node meet there, at most
+    MEETING at a time.
+    """
     worst = lists.groupBy("a").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n"))
-    worst = sizes.join(worst, F.col("node") == F.col("a"), "left").select(
-        "node", F.when(F.col("n") >= F.col("size"), F.col("worst")).otherwise(-2.0).alias("worst"))
-    known = nodes.select("node", "vec").join(worst, "node")
-    around = _best(_both(lists), sizes)
-    rows = around.join(known.withColumnRenamed("node", "b"), "b").select("a", "b", "vec", "worst")
+    known = nodes.select(F.col("node").alias("a"), "vec", "size").join(worst, "a").select(
+        "a", "vec", F.when(F.col("n") >= F.col("size"), F.col("worst")).otherwise(-2.0).alias("worst"))
+    sent = lists.select("a", F.col("b").alias("at")).join(known, "a")
 
     def meetings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last list of a batch may go on in the next
+        held = None  # the last node of a batch may go on in the next
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = int(np.searchsorted(frame["a"].to_numpy(), frame["a"].iloc[-1])) if len(frame) else 0
+            last = int(np.searchsorted(frame["at"].to_numpy(), frame["at"].iloc[-1])) if len(frame) else 0
+            if len(frame) - last > MEETING:
+                last = len(frame)
             held = frame.iloc[last:]
             yield met(frame.iloc[:last])
         if held is not None:
@@ -120,26 +117,32 @@ def _meet(lists: DataFrame, nodes: DataFrame, sizes: DataFrame, width: int) -> D
     def met(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(frame):
-            ids, worst, u = frame["b"].to_numpy(), frame["worst"].to_numpy(), unit(frame["vec"], width)
-            ends = np.flatnonzero(np.diff(frame["a"].to_numpy())) + 1
+            ids, worst, u = frame["a"].to_numpy(), frame["worst"].to_numpy(), unit(frame["vec"], width)
+            ends = np.flatnonzero(np.diff(frame["at"].to_numpy())) + 1
             for s, e in zip([0, *ends], [*ends, len(frame)]):
-                sims = cosines(u[s:e], u[s:e])
-                i, j = np.nonzero(np.triu(sims > np.minimum(worst[s:e, None], worst[None, s:e]), 1))
-                out.append((ids[s:e][i], ids[s:e][j], sims[i, j]))
+                for k in range(s, e, MEETING):
+                    own = slice(k, min(e, k + MEETING))
+                    sims = cosines(u[own], u[own])
+                    i, j = np.nonzero(np.triu(sims > np.minimum(worst[own, None], worst[None, own]), 1))
+                    out.append((ids[own][i], ids[own][j], sims[i, j]))
         a, b, sim = (np.concatenate(x) for x in zip(*out)) if out else (np.array([], np.int64),) * 2 + (np.array([]),)
-        return pd.DataFrame({"a": a, "b": b, "sim": sim})
+        return pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([b, a]), "sim": np.concatenate([sim, sim])})
 
-    return rows.repartition("a").sortWithinPartitions("a").mapInPandas(meetings, _LISTS)
+    return sent.repartition(parts, "at").sortWithinPartitions("at").mapInPandas(meetings, _LISTS)
+
+
+MEETING = 512  # nodes that meet at once
 
 
 def _total(lists: DataFrame) -> float:
     return lists.agg(F.sum(F.col("sim") + 1)).first()[0] or 0.0
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, width: int, parts: int, rounds: int = MOST_ROUNDS) -> DataFrame:
     total = _total(lists)
-    for _ in range(MOST_ROUNDS):
-        lists = settle(_best(lists.unionByName(_both(_meet(lists, nodes, sizes, width))), sizes))
+    for _ in range(rounds):
+        more = _meet(lists, nodes, width, parts).unionByName(lists).unionByName(_turned(lists))
+        lists = settle(_best(more, nodes, parts))
         now = _total(lists)
         if now <= total * (1 + STILL):
             break
@@ -147,19 +150,20 @@ def _descend(lists: DataFrame, nodes: DataFrame, sizes: DataFrame, width: int) -
     return lists
 
 
-def _saturated(lists: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+def _saturated(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     full = lists.where(F.col("sim") >= threshold).groupBy("a").count()
-    return full.join(sizes, F.col("a") == F.col("node")).where("count >= size").select("node")
+    return full.join(nodes.select("node", "size"), F.col("a") == F.col("node")).where("count >= size").select("node")
 
 
 def _known_links(lists: DataFrame, threshold: float) -> DataFrame:
     """Both directions of every pair that passes."""
-    return _both(lists.where(F.col("sim") >= threshold)).select("a", "b").distinct()
+    passing = lists.where(F.col("sim") >= threshold)
+    return passing.unionByName(_turned(passing)).select("a", "b").distinct()
 
 
-def _audit(nodes: DataFrame, links: DataFrame, width: int, threshold: float) -> float:
-    """Share of the links of AUDIT nodes, held against all nodes, that are known."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "vec").toPandas()
+def _audit(nodes: DataFrame, loose: DataFrame, links: DataFrame, width: int, threshold: float) -> float:
+    """Share of the links of AUDIT nodes of ``loose``, held against all nodes, that are known."""
+    asked = loose.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "vec").toPandas()
     if not len(asked):
         return 1.0
     ids, u = asked["node"].to_numpy(), unit(asked["vec"], width)
@@ -175,25 +179,58 @@ def _audit(nodes: DataFrame, links: DataFrame, width: int, threshold: float) ->
     return (row[1] or 0) / row[0] if row[0] else 1.0
 
 
-def _counted(members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """node, n_links for whole components (rows group, node, vec, copies), block against block."""
-    sizes = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("blocks"))
-    rows = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    # a block meets every block of its group once: as the left of the pair it is looked up for
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rows.select(
-        F.col("group").alias("own_group"), F.col("block").alias("own_block"), F.col("node").alias("b"),
-        F.col("vec").alias("b_vec"), F.col("copies").alias("b_copies"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left_block"))
-
-    def counts(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        links = cosines(unit(mine["vec"], width), unit(others["b_vec"], width)) >= threshold
-        links &= mine["node"].to_numpy()[:, None] != others["b"].to_numpy()[None, :]
-        return pd.DataFrame({"node": mine["node"].to_numpy(), "n_links": links @ others["b_copies"].to_numpy()})
-
-    paired = left.groupBy("group", "block", "other").cogroup(
-        right.groupBy("own_group", "left_block", "own_block"))
-    return paired.applyInPandas(counts, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+def _linked(nodes: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For nodes (node, vec, copies): node, others (copies of linked nodes) and node, group (least node reachable)."""
+    n = nodes.count()
+    parts = max(1, -(-n * LIST // ROWS_OF_A_PART))
+    sized = settle(nodes.select("node", "vec", "copies", F.lit(LIST).alias("size")).repartition(parts, "node"))
+    lists, links, full = None, None, None
+    for attempt in range(MOST_TRIES if n > 1 else 0):
+        for order in range(attempt * ORDERS, (attempt + 1) * ORDERS):
+            more = _neighbouring(nodes, width, n, order)
+            lists = more if lists is None else lists.unionByName(more)
+        lists = _descend(settle(_best(lists.unionByName(_turned(lists)), sized, parts)), sized, width, parts)
+        full = settle(_saturated(lists, sized, threshold))
+        size = LIST
+        while size < LONGEST_LIST and not full.isEmpty():
+            size *= 2
+            sized = settle(sized.join(full.withColumn("more", F.lit(size)), "node", "left").select(
+                "node", "vec", "copies", F.coalesce("more", "size").alias("size")).repartition(parts, "node"))
+            part = lists.join(full.withColumnRenamed("node", "a"), "a", "left_semi")
+            part = _descend(part, sized, width, parts, 2)
+            lists = settle(_best(lists.unionByName(part), sized, parts))
+            full = settle(_saturated(lists, sized, threshold))
+        links = settle(_known_links(lists, threshold))
+        loose = nodes if full.isEmpty() else nodes.join(full, "node", "left_anti")
+        if _audit(nodes, loose, links, width, threshold) >= WANTED:
+            break
+    else:
+        full = nodes.select("node")
+    if links is None:
+        alone = nodes.select("node", F.lit(0).cast("long").alias("others"))
+        return alone, nodes.select("node", F.col("node").alias("group"))
+    groups = settle(components(links))
+    known = links.join(nodes.select(F.col("node").alias("b"), "copies"), "b")
+    crowd = nodes.join(full, "node", "left_semi")
+    if full.isEmpty():
+        counts = known.groupBy("a").agg(F.sum("copies").alias("others"))
+    else:
+        members = crowd.join(groups, "node", "left").select(
+            "node", "vec", "copies", F.coalesce("component", "node").alias("group"))
+        exact, edges = counted(members, width, threshold, PAIR_BLOCK)
+        marked = full.withColumn("crowd", F.lit(1))
+        # links that have an end outside the crowds are taken from the lists
+        outside = known.join(marked.select(F.col("node").alias("a"), F.col("crowd").alias("a_in")), "a", "left").join(
+            marked.select(F.col("node").alias("b"), F.col("crowd").alias("b_in")), "b", "left").where("a_in IS NULL OR b_in IS NULL")
+        counts = outside.select("a", "copies").unionByName(
+            exact.select(F.col("node").alias("a"), F.col("n_links").alias("copies"))).groupBy("a").agg(F.sum("copies").alias("others"))
+        edges = settle(edges)
+        if not edges.isEmpty():
+            groups = components(links.unionByName(edges))
+    counts = nodes.select("node").join(counts.withColumnRenamed("a", "node"), "node", "left").select(
+        "node", F.coalesce("others", F.lit(0)).alias("others"))
+    groups = nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+    return counts, groups
 
 
 def near_duplicates(
@@ -209,45 +246,8 @@ def near_duplicates(
     nodes = settle(classes.select(
         F.when(F.col("twin") == 0, F.col("first")).otherwise(F.xxhash64("first", "vec")).alias("node"),
         "first", "vec", "copies"))
-    n = nodes.count()
-    lists, sizes = None, settle(nodes.select("node", F.lit(LIST).alias("size")))
-    for attempt in range(MOST_TRIES if n > 1 else 0):
-        for order in range(attempt * ORDERS, (attempt + 1) * ORDERS):
-            more = _neighbouring(nodes, width, n, order)
-            lists = more if lists is None else lists.unionByName(more)
-        lists = _descend(settle(_best(lists, sizes)), nodes, sizes, width)
-        size = LIST
-        while size < LONGEST_LIST:
-            full = settle(_saturated(lists, sizes, threshold))
-            if full.isEmpty():
-                break
-            size *= 2
-            sizes = settle(sizes.join(full.withColumn("more", F.lit(size)), "node", "left").select(
-                "node", F.coalesce("more", "size").alias("size")))
-            part = lists.join(full.withColumnRenamed("node", "a"), "a", "left_semi")
-            part = _descend(settle(part), nodes, sizes, width)
-            lists = settle(_best(lists.unionByName(part), sizes))
-        links = settle(_known_links(lists, threshold))
-        if attempt + 1 == MOST_TRIES:
-            break
-        full = settle(_saturated(lists, sizes, threshold))
-        loose = nodes if full.isEmpty() else nodes.join(full, "node", "left_anti")
-        if _audit(settle(loose), links, width, threshold) >= WANTED:
-            break
-    if lists is None:
-        grouped = nodes.select("node", F.col("node").alias("group"), F.lit(0).cast("long").alias("others"))
-    else:
-        joined = settle(components(links).select("node", F.col("component").alias("group")))
-        own = links.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(
-            F.sum("copies").alias("others")).withColumnRenamed("a", "node")
-        full = _saturated(lists, sizes, threshold)
-        crowded = joined.join(full, "node").select("group").distinct()
-        members = joined.join(crowded, "group").join(nodes.select("node", "vec", "copies"), "node")
-        exact = settle(_counted(members, width, threshold)).withColumnRenamed("n_links", "exact")
-        grouped = nodes.select("node").join(joined, "node", "left").join(own, "node", "left").join(exact, "node", "left")
-        grouped = grouped.select(
-            "node", F.coalesce("group", "node").alias("group"), F.coalesce("exact", "others", F.lit(0)).alias("others"))
-    grouped = settle(grouped.join(nodes, "node"))
+    counts, groups = _linked(nodes, width, threshold)
+    grouped = settle(nodes.join(counts, "node").join(groups, "node"))
     least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
     by_vector = grouped.join(least, "group").select("vec", (F.col("others") + F.col("copies") - 1).alias("links"), "component_id")
     linked = rows.join(by_vector, "vec").groupBy(key).agg(
