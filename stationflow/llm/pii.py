@@ -269,6 +269,12 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         whole = next(body + d for d in "0123456789" if luhn(body + d))
         return " ".join(whole[i:i + 4] for i in range(0, len(whole), 4)) if rng.random() < 0.3 else whole
 
+    def no_card() -> str:
+        """As many digits, whose check sum fails."""
+        whole = card().replace(" ", "")
+        whole = whole[:-1] + str((int(whole[-1]) + rng.randint(1, 9)) % 10)
+        return " ".join(whole[i:i + 4] for i in range(0, len(whole), 4)) if rng.random() < 0.3 else whole
+
     makers = {
         1: lambda: rng.choice((f"{word()}.{digits(2)}@{word()}.example.com", f"{word()} [at] {word()} [dot] com",
                                f"{word()} (at) {word()} (dot) org", f"{word()}{digits(1)}@{word()}.org", f"{word()} at {word()} dot com")),
@@ -283,7 +289,7 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
                                f"${digits(3)}.{digits(2)}", f"{digits(2)} {digits(2)} {digits(3)}", f"{digits(rng.randint(7, 12))}", f"{word()}{digits(2)}",
                                f"{digits(4)}.{digits(3)}.{digits(2)}.{digits(1)}", f"@{word()}", f"v{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(4)}",
                                f"{word()} at {word()}", f"{word()} dot {word()}", f"http://{word()}.com/{digits(4)}",
-                               f"{digits(3)} {digits(4)} {digits(2)}", f"ISBN {digits(3)}-{digits(1)}-{digits(5)}", f"{word()}@{word()}")),
+                               f"{digits(3)} {digits(4)} {digits(2)}", no_card(), no_card(), no_card(), f"ISBN {digits(3)}-{digits(1)}-{digits(5)}", f"{word()}@{word()}")),
     }
     words: list[str] = []
     truth: list[tuple[int, int, int]] = []

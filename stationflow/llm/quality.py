@@ -171,6 +171,6 @@ def _trained(measured: DataFrame, labels: DataFrame) -> Discriminant:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
-    measured = staged(in_small_batches(docs).select("doc_id", statistics(F.col("text")).alias("stats")))
-    model = _trained(measured, labels)
-    return docs.where(score(statistics(F.col("text")), model) >= threshold)
+    measured = staged(in_small_batches(docs).withColumn("__stats", statistics(F.col("text"))))
+    model = _trained(measured.select("doc_id", F.col("__stats").alias("stats")), labels)
+    return measured.where(score(F.col("__stats"), model) >= threshold).drop("__stats")
