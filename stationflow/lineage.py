@@ -49,11 +49,14 @@ def staged(df: DataFrame) -> DataFrame:
     return frame
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, by the file system its address names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(frame: DataFrame) -> None:
     """Delete the files of a table that ``staged`` made, once nothing will read it again."""
     path = getattr(frame, "_staged_at", None)
-    if path is None:
-        return
-    spark = frame.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path is not None:
+        discard_path(frame.sparkSession, path)

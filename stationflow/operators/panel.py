@@ -34,11 +34,14 @@ def with_history(df: DataFrame, cfg: PanelConfig) -> DataFrame:
 
     Days without a row are simply absent: a range frame on the day number sees the same values as
     a shift on a gap-filled calendar, and all frames share one sort of one station partitioning.
-    Needs ``y`` and ``day_no``.
+    Needs ``y`` and ``day_no``. Two rows for one day of a station are an error: neither could be told to be its value.
     """
     by_day = Window.partitionBy("station_id").orderBy("day_no")
+    alone = F.count(F.lit(1)).over(by_day.rangeBetween(0, 0)) == 1
+    twice = F.raise_error(F.format_string("station %s has more than one row for %s", F.col("station_id"), F.col("date").cast("string"))).cast("double")
     out = df.withColumns({
-        f"y_lag_{k}": F.max("y").over(by_day.rangeBetween(-k, -k)) for k in cfg.lag_days
+        "y": F.when(alone, F.col("y")).otherwise(twice),
+        **{f"y_lag_{k}": F.max("y").over(by_day.rangeBetween(-k, -k)) for k in cfg.lag_days},
     })
     for w in cfg.roll_windows:
         frame = by_day.rangeBetween(-w, -1)

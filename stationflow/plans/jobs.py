@@ -5,16 +5,18 @@ Defaults of all paths are the caller's: one folder per job, named by the caller.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.config import BacktestConfig, MartConfig, PanelConfig
-from stationflow.functions.cleaning import DATE_FORMATS
-from stationflow.lineage import settle
+from stationflow.functions.cleaning import DATE_FORMATS, as_date
+from stationflow.lineage import discard_path, settle
 from stationflow.operators.eligibility import eligibility_stats
-from stationflow.operators.hourly import direction_day, lane_totals, year_span
+from stationflow.operators.hourly import direction_day, lane_totals
 from stationflow.operators.panel import build_panel
 from stationflow.operators.station_day import station_coverage, station_day
 from stationflow.plans import forecast_reports as FR
@@ -27,24 +29,48 @@ from stationflow.sources.readers import load_panel, load_station_day, read_hourl
 from stationflow.sources.writers import coverage_name, descending, station_day_name, write_table
 
 
+def _moved(spark: SparkSession, old: str, new: str) -> None:
+    """A written folder under its final name; one that stands there already goes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path(new), True)
+    if not system.rename(path(old), path(new)):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def build_station_days(spark: SparkSession, source: str, outdir: str, report: MartConfig = MartConfig(),
-                       fmt: str = "parquet", formats: Sequence[str] = DATE_FORMATS) -> tuple[str, str]:
+                       fmt: str = "parquet", formats: Sequence[str] = DATE_FORMATS, seen: dict | None = None) -> tuple[str, str]:
     """Hourly files -> station-day table and coverage table; returns the two paths.
 
-    ``formats`` are the forms of dates besides ISO; a source without any readable date is an error.
+    The source is read once: what the file name says (first and last year) and what must be known of it is observed while
+    the table is written, which then gets its name. ``seen`` is told the rows read and those whose date is unreadable.
+    ``formats`` are the forms of dates besides ISO; a source without any row, or any readable date, is an error.
     As Parquet the station-day table is split by year, so the window filter skips whole folders.
     """
-    hourly = read_hourly(spark, source)
-    years = year_span(hourly, formats).first()
-    if years["min_year"] is None:
-        raise ValueError(f"{source}: no date could be read as ISO or {list(formats)}")
-    days = station_day(direction_day(lane_totals(hourly, source, formats)))
-    days_path = f"{outdir}/{station_day_name(years['min_year'], years['max_year'])}"
-    days_path += ".csv" if fmt == "csv" else ""
+    hourly = read_hourly(spark, source, check=False)
+    day = as_date(hourly, "date", formats)
+    told = [F.count(F.lit(1)).alias("rows"), F.count(F.when(day.isNull(), 1)).alias("unreadable_dates"),
+            F.year(F.min(day)).alias("min_year"), F.year(F.max(day)).alias("max_year")]
+    watch = Observation("hourly rows")
+    days = station_day(direction_day(lane_totals(hourly.observe(watch, *told), source, formats)))
+    ending = ".csv" if fmt == "csv" else ""
+    draft = f"{outdir}/_station_day_{uuid.uuid4().hex}{ending}"
     if fmt == "parquet":
-        write_table(days.withColumn(YEAR_FOLDER, F.year("date")), days_path, fmt, partition_by=[YEAR_FOLDER])
+        write_table(days.withColumn(YEAR_FOLDER, F.year("date")), draft, fmt, partition_by=[YEAR_FOLDER])
     else:
-        write_table(days, days_path, fmt, order=["station_id", "date"])
+        write_table(days, draft, fmt, order=["station_id", "date"])
+    try:
+        facts = watch.get
+    except Py4JJavaError:  # a plan that turns out empty is dropped while it runs, and what it observed with it
+        facts = hourly.agg(*told).first().asDict()
+    if seen is not None:
+        seen.update(facts)
+    if not facts["rows"] or facts["min_year"] is None:
+        discard_path(spark, draft)
+        raise ValueError("No data read from input." if not facts["rows"] else
+                         f"{source}: no date could be read as ISO or {list(formats)}")
+    days_path = f"{outdir}/{station_day_name(facts['min_year'], facts['max_year'])}{ending}"
+    _moved(spark, draft, days_path)
     written = load_station_day(spark, days_path)
     coverage = station_coverage(written, report.coverage_year_start, report.coverage_year_end)
     cover_path = f"{outdir}/{coverage_name(report.coverage_year_start, report.coverage_year_end)}.csv"

@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections import defaultdict
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.functions.cleaning import as_date, as_flag, as_long, as_number, require_columns
-from stationflow.schemas import BACKTEST, HOUR_COLUMNS, HOURLY_KEYS, HOURLY_TEXT, PREDICTIONS
+from stationflow.schemas import BACKTEST, HOUR_COLUMNS, HOURLY_KEYS, PREDICTIONS
+from stationflow.sources.archives import checked_header, headers, read_zipped_csv
 
 HOURLY_COLUMNS = HOURLY_KEYS + HOUR_COLUMNS
-ZIP_BATCH = 20_000  # rows handed over at once while an archive is unpacked
 
 
-def read_hourly(spark: SparkSession, path: str, uniform_header: bool = False) -> DataFrame:
-    """Hourly rows as text from a ``.zip`` archive or a folder of ``*.csv`` files."""
+def read_hourly(spark: SparkSession, path: str, uniform_header: bool = False, check: bool = True) -> DataFrame:
+    """Hourly rows as text from a ``.zip`` archive or a folder of ``*.csv`` files.
+
+    With ``check`` an input without rows is an error at once, which takes a look at the first of them.
+    """
     if path.lower().endswith(".zip"):
         rows = read_hourly_zip(spark, path)
     else:
         rows = read_hourly_folder(spark, path, uniform_header)
-    if rows.isEmpty():
+    if check and rows.isEmpty():
         raise ValueError("No data read from input.")
     return rows
 
 
-def csv_files(spark: SparkSession, folder: str) -> list[str]:
-    """Sorted ``*.csv`` paths; only file names reach the driver, the content column is not read."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    return sorted(r["path"] for r in listing.select("path").collect())
+def files_named(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
+    """Sorted paths; only file names reach the driver, the content column is not read."""
+    listing = spark.read.format("binaryFile")
+    if pattern:
+        listing = listing.option("pathGlobFilter", pattern)
+    return sorted(r["path"] for r in listing.load(path).select("path").collect())
 
 
 def read_hourly_folder(spark: SparkSession, folder: str, uniform_header: bool = False) -> DataFrame:
@@ -46,19 +45,13 @@ def read_hourly_folder(spark: SparkSession, folder: str, uniform_header: bool =
     """
     if uniform_header:
         return _scan(spark, [f"{folder}/*.csv"], HOURLY_COLUMNS)
-    files = csv_files(spark, folder)
+    files = files_named(spark, folder, "*.csv")
     if not files:
         raise ValueError("No data read from input.")
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in files:
-        header = spark.read.text(path).limit(1).collect()
-        names = tuple(next(csv.reader([header[0][0].lstrip("\ufeff")]))) if header else ()
-        missing = sorted(set(HOURLY_COLUMNS) - set(names))
-        if missing:
-            raise ValueError(f"{path.rsplit('/', 1)[-1]}: missing required columns: {missing}")
-        by_header[names].append(path)
-    parts = [_scan(spark, paths, names).select(*[F.col(f"`{c}`") for c in HOURLY_COLUMNS])
-             for names, paths in by_header.items()]
+    parts = []
+    for names, paths in headers(spark, files).items():
+        checked_header(paths[0], names, HOURLY_COLUMNS)
+        parts.append(_scan(spark, paths, names).select(*[F.col(f"`{c}`") for c in HOURLY_COLUMNS]))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -70,42 +63,9 @@ def _scan(spark: SparkSession, paths: list[str], names) -> DataFrame:
     )
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of every CSV member of the archives in a partition, columns matched by name."""
-    for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in sorted(m for m in archive.namelist() if m.lower().endswith(".csv")):
-                    with archive.open(member) as stream:
-                        yield from _member_rows(member, io.TextIOWrapper(stream, "utf-8-sig", newline=""))
-
-
-def _member_rows(member: str, text: io.TextIOWrapper) -> Iterator[pd.DataFrame]:
-    lines = csv.reader(text)
-    header = next(lines, [])
-    missing = sorted(set(HOURLY_COLUMNS) - set(header))
-    if missing:
-        raise ValueError(f"{member}: missing required columns: {missing}")
-    at = [header.index(c) for c in HOURLY_COLUMNS]
-    rows: list[list[str | None]] = []
-    for line in lines:
-        if line:
-            rows.append([line[i] if i < len(line) and line[i] != "" else None for i in at])
-        if len(rows) == ZIP_BATCH:
-            yield pd.DataFrame(rows, columns=HOURLY_COLUMNS, dtype=object)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=HOURLY_COLUMNS, dtype=object)
-
-
 def read_hourly_zip(spark: SparkSession, path: str) -> DataFrame:
-    """CSV members of one or many zip archives (``path`` may be a glob).
-
-    A zip cannot be split, so one task unpacks one archive, in batches; it holds the packed bytes of
-    that archive (2 GB at most). Pass many archives to spread the work.
-    """
-    archives = spark.read.format("binaryFile").load(path).select("content")
-    return archives.mapInPandas(_unzip, HOURLY_TEXT)
+    """CSV members of one or many zip archives (``path`` may be a glob), a task for each member."""
+    return read_zipped_csv(spark, files_named(spark, path), HOURLY_COLUMNS)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -125,6 +125,25 @@ def test_neighbours_equal_brute_force(spark, pivots, train_block, query_block):
         np.testing.assert_allclose(got[[f"KNN_k{k}_uniform", f"KNN_k{k}_dist"]].to_numpy(), expected, rtol=1e-9)
 
 
+def test_a_query_looks_at_few_of_many_clustered_rows(spark):
+    rng = np.random.default_rng(7)
+    n, clusters = 100_000, 400
+    centres = rng.normal(size=(clusters, 3)) * 20
+    x = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, 3))
+    y = rng.normal(size=n).round(3)
+    import pandas as pd
+
+    train = spark.createDataFrame(pd.DataFrame({"station_id": 1, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    queries = spark.createDataFrame(pd.DataFrame({"station_id": 1, "a": x[::500, 0], "b": x[::500, 1], "c": x[::500, 2], "qid": range(len(x[::500]))}))
+    report: dict = {}
+    near = nearest(train, queries, ["a", "b", "c"], 10, report=report)
+    got = neighbour_means(near, [10]).orderBy("qid").toPandas()
+    expected = brute_force(x, y, np.ones(n, int), x[::500], np.ones(len(x[::500]), int), 10)
+    np.testing.assert_allclose(got[["KNN_k10_uniform", "KNN_k10_dist"]].to_numpy(), expected, rtol=1e-9)
+    print("share of the rows looked at:", report["share"])
+    assert report["share"] < 0.2
+
+
 def test_neighbour_plan_has_no_cross_join(bench):
     near = nearest(bench.train, bench.holdout, bench.inputs, 5)
     plan = near._jdf.queryExecution().executedPlan().toString()

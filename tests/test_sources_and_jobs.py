@@ -143,3 +143,87 @@ def test_jobs_end_to_end(spark, tmp_path, synthetic_cfg):
     assert len(written) == 19
     empty = [p.rsplit("/", 1)[1] for p in written if spark.read.parquet(p).isEmpty()]
     assert empty == []
+
+
+# --- archives and folders of any size ------------------------------------------------------------
+
+def jobs_run(spark, work):
+    """What ``work`` gives, and how many Spark jobs it ran."""
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return work(), len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_files_take_a_constant_number_of_jobs(spark, tmp_path):
+    counts = []
+    for number in (120, 240):  # Spark lists more than 32 paths of one scan in a job of its own
+        folder = tmp_path / str(number)
+        folder.mkdir()
+        for i in range(number):
+            columns = list(HOURLY_COLUMNS) if i % 3 else list(reversed(HOURLY_COLUMNS))
+            write_csv(folder / f"{i:03}.csv", [(i, 1, 1, "2020-01-01", 1)], columns)
+        rows, jobs_of = jobs_run(spark, lambda: read_hourly_folder(spark, str(folder)))
+        counts.append(jobs_of)
+        got = totals(direction_day(lane_totals(rows)))
+        assert got == {(i, date(2020, 1, 1), 1, 24.0) for i in range(number)}
+    assert counts[0] == counts[1]
+
+
+def test_an_archive_beyond_two_gib_is_read_a_block_at_a_time(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", [(s, 1, 1, "2020-01-01", s) for s in range(2_000)])
+    with zipfile.ZipFile(tmp_path / "small.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.write(tmp_path / "a.csv", "a.csv")
+        z.writestr("b.csv", (tmp_path / "a.csv").read_text().replace("2020-01-01", "2021-01-01"))
+        z.writestr("empty.csv", ",".join(HOURLY_COLUMNS) + "\n")
+    with open(tmp_path / "large.zip", "wb") as f:  # a hole of 2.2 GiB before the archive takes no room on disk
+        f.seek(2_200 << 20)
+        f.write((tmp_path / "small.zip").read_bytes())
+    assert (tmp_path / "large.zip").stat().st_size > 1 << 31
+    rows = read_hourly(spark, str(tmp_path / "large.zip"))
+    assert rows.rdd.getNumPartitions() == 3  # a task for each member
+    got = totals(direction_day(lane_totals(rows)))
+    assert len(got) == 4_000 and (7, date(2021, 1, 1), 1, 168.0) in got
+
+
+def test_odd_lines_of_a_member(spark, tmp_path):
+    header = list(HOURLY_COLUMNS)
+    good = ["1", "1", "1", "2020-01-01", *["1"] * 24]
+    lines = [header, good, good[:6], [*good[:4], *["2"] * 24, "surplus"], ["2", "1", "1", "2020-01-01", *[""] * 24], []]
+    text = "﻿" + "\r\n".join(",".join(line) for line in lines) + "\r\n"
+    with zipfile.ZipFile(tmp_path / "odd.zip", "w") as z:
+        z.writestr("odd.csv", text.encode())
+        z.writestr("quoted.CSV", ",".join(reversed(header)) + "\n" + ",".join(f'"{v}"' for v in reversed(good)) + "\n")
+    got = totals(direction_day(lane_totals(read_hourly(spark, str(tmp_path / "odd.zip")))))
+    assert got == {(1, date(2020, 1, 1), 1, 24.0 + 2.0 + 48.0 + 24.0), (2, date(2020, 1, 1), 1, 0.0)}
+
+
+def test_station_days_are_built_in_one_reading(spark, tmp_path):
+    source = tmp_path / "hourly"
+    source.mkdir()
+    write_csv(source / "a.csv", YEARS["2020"] + YEARS["2021"])
+    seen: dict = {}
+    days_path, _ = jobs.build_station_days(spark, str(source), str(tmp_path / "out"), seen=seen)
+    assert days_path.endswith("station_day_2020_2021")
+    assert seen == {"rows": 6, "unreadable_dates": 1, "min_year": 2020, "max_year": 2021}  # each row once
+    again, _ = jobs.build_station_days(spark, str(source), str(tmp_path / "out"))
+    assert again == days_path and load_station_day(spark, again).count() == 2
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_station")] == []
+    empty = tmp_path / "none"
+    empty.mkdir()
+    write_csv(empty / "a.csv", [])
+    with pytest.raises(ValueError, match="No data read"):
+        jobs.build_station_days(spark, str(empty), str(tmp_path / "out2"))
+    write_csv(empty / "a.csv", [(1, 1, 1, "never", 1)])
+    with pytest.raises(ValueError, match="no date could be read"):
+        jobs.build_station_days(spark, str(empty), str(tmp_path / "out2"))
+
+
+def test_two_rows_for_one_day_are_an_error(spark, synthetic_days, synthetic_cfg):
+    from stationflow.operators.panel import build_panel
+
+    twice = synthetic_days.unionByName(synthetic_days.where("station_id = 2 AND date = DATE '2022-03-05'"))
+    with pytest.raises(Exception, match="station 2 has more than one row for 2022-03-05"):
+        build_panel(twice, synthetic_cfg).collect()
