@@ -1,4 +1,4 @@
-"""Cutting text where no byte-level pre-token can reach across, and remembering the ids of the parts.
+"""Cutting text where no byte-level pre-token can reach across, remembering what was made of parts, and well-formed text.
 
 A pre-token either holds no white space behind its first character, or nothing but white space. So
 at a space that follows a character which is no white space a pre-token always begins, and the text
@@ -10,9 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-# Entries of a generation of each table. A pre-token that is not known costs most, so most room is for these.
-KNOWN_WORDS, KNOWN_PARTS = 640_000, 60_000
-
 # Python's white space holds all that pre-tokenizers count as such; a few characters more only join parts.
 _AFTER_WHITE = re.compile(r"\s (?<=\s\s)").search
 _WHITE_END = re.compile(r"\s\Z").search
@@ -55,27 +52,6 @@ class Recent(dict):
         return got
 
 
-class TextEncoder:
-    """Packed ids of whole texts, from a pre-token pattern and a function that encodes one pre-token.
-
-    Pre-tokens and parts seen lately are looked up; that never changes a result.
-    """
-
-    def __init__(self, pattern: str, pre_token: Callable[[str], bytes], known_words: int = KNOWN_WORDS):
-        import regex
-
-        self.find = regex.compile(pattern).findall
-        self.words = Recent(pre_token, known_words)
-        self.parts = Recent(lambda part: self.whole(" " + part), KNOWN_PARTS)
-
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.find(text)))
-
-    def text(self, text: str) -> bytes:
-        parts = spaced_parts(well_formed(text))
-        return self.whole(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
-
-
 def well_formed(text: str) -> str:
     """Lone surrogates become U+FFFD; pairs of them become the character they stand for."""
     try:
