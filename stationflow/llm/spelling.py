@@ -190,11 +190,11 @@ def _step(met: DataFrame) -> DataFrame:
     kept_end = (left == size) & (label == longer)
     replaced_end = (left == size) & (label > longer) & (F.levenshtein(label, longer, 1) == 1)
     dropped_end = (left == size + 1) & (F.levenshtein(label, longer, 1) == 1)
-    stay, skip = at + size, at + size + 1
-    moves = F.when(edited, F.array(F.when(F.when(ends, kept_end).otherwise(kept), stay))).when(
-        ends, F.array(F.when(replaced_end | dropped_end, stay))).otherwise(
-        F.array(F.when(replaced, stay), F.when(dropped, skip)))
-    moved = rows.withColumn("moves", F.array_compact(moves)).where(F.size("moves") > 0)
+    stays = F.when(edited, F.when(ends, kept_end).otherwise(kept)).otherwise(F.when(ends, replaced_end | dropped_end).otherwise(replaced))
+    skips = ~edited & ~ends & dropped
+    # few pairs of a state and an edge lead on: only those are given arrays
+    moved = rows.where(stays | skips).withColumn("moves", F.array_compact(F.array(
+        F.when(stays, at + size), F.when(skips, at + size + 1))))
     return moved.select("word", "n", "back", "block", F.col("e.child").alias("node"), F.explode("moves").alias("at"),
                         F.lit(1).alias("edits"), F.col("e.other").alias("other"), F.col("e.other_n").alias("other_n"))
 

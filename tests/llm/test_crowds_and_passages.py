@@ -151,3 +151,28 @@ def test_added_spans_of_documents_are_what_they_say(spark):
              or kind == "ip" and said.count(".") == 3 or kind == "email" and "@" in said or kind == "email" and "at" in said
              for kind, digits, said in added]
     assert len(added) >= 10 and sum(right) / len(right) >= 0.95
+
+
+# --- the multi-index -------------------------------------------------------------------------------
+
+def test_few_of_many_clustered_vectors_are_visited(spark):
+    from stationflow.llm import multi_index
+
+    rng = np.random.default_rng(3)
+    n, dim, clusters = 100_000, 16, 300
+    centres = rng.normal(size=(clusters, dim))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = (centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dim)) * 0.06).astype("float32")
+    import pyarrow as pa
+
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    report: dict = {}
+    got = multi_index.nearest(rows, lambda i: i % 500 == 0, k=10, report=report).toPandas()
+    hits, asked = 0, range(0, n, 500)
+    for q, own in got.groupby("query_id"):
+        scores = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        scores[q] = -np.inf
+        hits += len(set(np.argpartition(-scores, 10)[:10].tolist()) & set(own["vec_id"]))
+        assert own.sort_values("rank")["score"].to_numpy() == pytest.approx(np.sort(scores[own["vec_id"]])[::-1], abs=1e-12)
+    print("visited", report)
+    assert hits / (10 * len(asked)) >= 0.9 and report["share"] < 0.3 and len(got) == 10 * len(asked)
