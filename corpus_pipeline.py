@@ -11,7 +11,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.lineage import staged
+from stationflow.lineage import discard, discard_path, noted, staged
 from stationflow.llm import line_dedup, packing, pii, quality, simhash
 
 
@@ -40,13 +40,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-STAGES = [
+# What the last call of a stage left in the shared folder: it is read until the stage's result is written, which it is
+# when the next stage starts.
+_left: dict[int, list[str]] = {}
+
+
+def _tidy(number: int, stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _left.pop(number - 1, []):
+            discard_path(spark, path)
+        with noted() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[number] = paths
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, _tidy(number, stage)) for number, (name, stage) in enumerate([
     ("quality_classifier", quality_filter),
     ("line_dedup", remove_repeated_lines),
     ("simhash_near_dedup", near_dedup),
     ("pii", redact_personal_data),
     ("best_fit_packing", pack),
-]
+])]
 
 # Trained scores, extracted spans and token ids can't be said in SQL; tests hold the stages against
 # brute-force versions.
@@ -54,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. Each stage's written result, and what it left, go when the next has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        discard(before)  # the input table itself was never staged and stays
     return STAGES[-1][1](spark, docs, sf_dir)
