@@ -56,6 +56,9 @@ MODELS, FULL = model_zoo(counts=TRIAL_COUNTS), model_zoo()
 # Trees, depth and leaves that a SQL twin can spell out.
 TEN_TREES = ModelSpec("ExtraTrees_10_depth40", "extra_trees", dict(trees=10, deepest=40, seed=7))
 SIX_LEVELS = ModelSpec("ExtraTrees_3_depth6", "extra_trees", dict(trees=3, deepest=6, seed=7, local_rows=0))
+FOREST = ModelSpec("RandomForest_5_depth20", "extra_trees", dict(trees=5, deepest=20, min_leaf=2, seed=7, best=True, bootstrap=True))
+FOREST_LEVELS = ModelSpec("RandomForest_2_depth5", "extra_trees", dict(
+    trees=2, deepest=5, min_leaf=2, seed=7, best=True, bootstrap=True, local_rows=0))
 FOLD_TREES = ModelSpec("ExtraTrees_2_depth10", "extra_trees", dict(trees=2, deepest=10, seed=7))
 TWO_ROUNDS = dict(rounds=2, rate=0.05, leaves=12, min_leaf=20, l2=1e-3)
 HISTOGRAM = ModelSpec("HGB_2_leaves12", "boosting", TWO_ROUNDS)
@@ -309,6 +312,8 @@ REGISTRY: dict[str, Query] = {
     "backtest_overlapping_folds": lambda s, d: _backtest(s, d, replace(BACKTEST, step_days=14)),
     "backtest_summary": lambda s, d: FR.backtest_summary(_backtest(s, d)),
     "ratio_to_baseline_weekly": lambda s, d: SR.ratio_to_baseline_weekly(_days(s, d), WINDOW, REPORT),
+    "ratio_weekly_sketched": lambda s, d: SR.ratio_weekly_sketched(
+        settle(SR.daily_ratio_sketches(_days(s, d), WINDOW, REPORT))),
     "volatility_change": lambda s, d: SR.volatility_change(
         SR.ratio_to_baseline_weekly(_days(s, d), WINDOW, REPORT), WINDOW),
     "system_weekly": lambda s, d: SR.system_weekly(_days(s, d), WINDOW),
@@ -339,6 +344,8 @@ REGISTRY: dict[str, Query] = {
         "n_estimators", F.lit(BACKTEST.n_estimators)),
     "extra_trees_scores": lambda s, d: _model_scores(s, d, TEN_TREES),
     "extra_trees_levels_scores": lambda s, d: _model_scores(s, d, SIX_LEVELS),
+    "random_forest_scores": lambda s, d: _model_scores(s, d, FOREST),
+    "random_forest_levels_scores": lambda s, d: _model_scores(s, d, FOREST_LEVELS),
     "backtest_extra_trees": lambda s, d: rolling_backtest(_complete(s, d), BACKTEST, spec=FOLD_TREES),
     "hist_boosting_scores": lambda s, d: _model_scores(s, d, HISTOGRAM),
     "hist_boosting_passes_scores": lambda s, d: _model_scores(s, d, HISTOGRAM_PASSES),

@@ -289,6 +289,10 @@ RATIO = ["""base_year AS (
       SELECT *, CASE WHEN count(*) OVER w >= 8 THEN stddev_samp(median) OVER w END AS median_roll_std_13w
       FROM weekly_ratio WINDOW w AS (ORDER BY week_ending ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))"""]
 
+SKETCHED = RATIO[:2] + ["""weekly_ratio AS (
+      SELECT week_ending, count(*) AS n, quantile_disc(ratio, 0.5) AS median, quantile_disc(ratio, 0.25) AS q25,
+             quantile_disc(ratio, 0.75) AS q75 FROM ratios GROUP BY 1)"""] + RATIO[3:]
+
 SYSTEM = [f"""plotted AS (
       SELECT * FROM station_day WHERE valid_day AND date BETWEEN {START} AND {END}
         AND station_id IN (SELECT station_id FROM chosen))""", """daily AS (
@@ -435,6 +439,10 @@ def oracle_sql() -> dict[str, str]:
                                 scores("", False)),
         "extra_trees_levels_scores": q(fx4 + OT.extra_trees(FEATURES, 3, 6, 7) + long_form({"ExtraTrees_3_depth6": "p"}, "et"),
                                        scores("", False)),
+        "random_forest_scores": q(fx4 + OT.random_forest(FEATURES, 5, 20, 7, 2) + long_form({"RandomForest_5_depth20": "p"}, "et"),
+                                  scores("", False)),
+        "random_forest_levels_scores": q(fx4 + OT.random_forest(FEATURES, 2, 5, 7, 2) + long_form({"RandomForest_2_depth5": "p"}, "et"),
+                                         scores("", False)),
         "backtest_extra_trees": q(
             fx4 + folds() + OT.extra_trees(FEATURES, 2, 10, 7, source=OT.FOLD_ROWS) + fold_predictions("et", "forest"),
             f"SELECT {BACKTEST_OUT} FROM backtest"),
@@ -512,6 +520,8 @@ def oracle_sql() -> dict[str, str]:
               ORDER BY test_start LIMIT 1)"""),
         "ratio_to_baseline_weekly": q(sd + ELIGIBLE + RATIO, f"""SELECT week_ending,
             {r("median", "q25", "q75", "median_roll_std_13w")} FROM ratio_weekly"""),
+        "ratio_weekly_sketched": q(sd + ELIGIBLE + SKETCHED, f"""SELECT week_ending, n,
+            {r("median", "q25", "q75", "median_roll_std_13w")} FROM ratio_weekly"""),
         "volatility_change": q(sd + ELIGIBLE + RATIO, f"""SELECT {r("pre_median", "post_median", "reduction_pct")}
             FROM (SELECT *, 100 * (1 - post_median / pre_median) AS reduction_pct FROM (
               SELECT median(median_roll_std_13w) FILTER (WHERE week_ending < {START}) AS pre_median,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that ``staged`` writes while this lasts, for whoever deletes them when their reader is done."""
+    paths: list[str] = []
+    _noting.append(paths)
+    try:
+        yield paths
+    finally:
+        _noting.remove(paths)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -46,6 +62,8 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     frame = spark.read.schema(df.schema).parquet(path)
     frame._staged_at = path
+    for paths in _noting:
+        paths.append(path)
     return frame
 
 

@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 
 from stationflow.functions.cleaning import finite_or_null
 
-# One indicator per station up to this many stations: the list of stations passes the driver, every
-# tree node holds statistics per indicator, and normal equations take 4096 columns at most. Beyond it
-# stations are hashed to as many columns.
-MAX_STATION_COLUMNS = 4000
-
 
 def numeric(name: str):
     """Feature as a double: infinities count as missing, missing counts as zero."""
@@ -50,14 +45,15 @@ class Scaling:
         })
 
 
-def station_columns(rows: DataFrame, inputs: Sequence[str], max_stations: int = MAX_STATION_COLUMNS) -> PipelineModel:
-    """Adds ``features``: the inputs and the station indicators as one vector.
+def station_columns(rows: DataFrame, inputs: Sequence[str], max_stations: int | None = None) -> PipelineModel:
+    """Adds ``features``: the inputs and the station indicators as one sparse vector, for models that read vectors.
 
-    A station unknown to ``rows`` gets all zeros.
+    The library's own models need no indicators. A station unknown to ``rows`` gets all zeros. The list of stations passes
+    the driver; a caller who wants fewer columns than stations names a bound, and beyond it they are hashed.
     """
-    known = rows.select("station_id").distinct().limit(max_stations + 1).count()
+    known = rows.select("station_id").distinct().limit(max_stations + 1).count() if max_stations else 0
     assemble = VectorAssembler(inputCols=[*inputs, "station_vec"], outputCol="features")
-    if known <= max_stations:
+    if not max_stations or known <= max_stations:
         stages = [
             StringIndexer(inputCol="station_id", outputCol="station_idx", handleInvalid="keep"),
             OneHotEncoder(inputCol="station_idx", outputCol="station_vec", dropLast=True),

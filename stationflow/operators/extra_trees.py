@@ -13,6 +13,10 @@ of the drawn thresholds. A node whose rows number at most ``local_rows`` is fini
 the same draws and the same sums, so where that happens never shows in the result. Trees are grown a few at
 a time where rows are many, and each level's rows are dropped once the next is written.
 
+The same grower makes random forests: ``best`` takes, in place of a drawn threshold, the best of up to 254 quantile edges
+of each feature, and ``bootstrap`` gives a row to a tree as often as a Poisson draw by (seed, tree, row) says. A row drawn
+twice counts twice, also for ``min_leaf``.
+
 Targets are taken in millionths as whole numbers: sums are exact, so a tree does not depend on the order of
 rows, on partitions, or on a task run twice. Features are taken in single precision. Ties in gain go to the
 first numeric feature, then to the smallest station.
@@ -23,13 +27,15 @@ without train rows predicts null. Depth ends at 62 splits, the width of a node n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow.lineage import discard, staged
@@ -38,6 +44,9 @@ SCALE = 1_000_000
 PRIME = (1 << 31) - 1
 DEEPEST = 62
 ROWS_AT_ONCE = 2_000_000_000  # rows times trees of a level that may lie in the shared folder
+BINS, SKETCH = 255, 10_000  # of ``best``; the sketch errs by one row in so many
+# Chances of a Poisson draw of mean one to be at most 0, 1, 2, ...; beyond ten they don't matter in 31 bits.
+POISSON = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(11)))
 CHUNK = 50  # trees that one task grows over one copy of a small forest's rows
 KEY = ("forest", "tree", "node")
 
@@ -49,6 +58,8 @@ class TreeSettings:
     seed: int = 7
     deepest: int = DEEPEST
     local_rows: int = 50_000
+    best: bool = False
+    bootstrap: bool = False
 
     def __post_init__(self) -> None:
         if self.trees < 1 or self.min_leaf < 1 or not 0 <= self.deepest <= DEEPEST:
@@ -64,6 +75,12 @@ def mixed(tree, node, feature: int, seed: int):
     return h
 
 
+def times_drawn(tree, row, seed: int):
+    """How often a row goes into a tree; for columns and arrays of longs alike."""
+    u = mixed(tree, (row % PRIME + PRIME) % PRIME, 200, seed) / float(PRIME)  # 200: no feature's number
+    return sum((u >= limit).astype("long") if isinstance(u, Column) else (u >= limit).astype(np.int64) for limit in POISSON)
+
+
 def tree_rows(rows: DataFrame, features: Sequence[str], target: str, forest: Column, row: Column, weight: Column) -> DataFrame:
     """Columns the grower reads: forest, row, station, w, yq, x0, x1, ..."""
     exact = F.when(weight > 0, F.round(F.col(target) * SCALE).cast("long"))
@@ -97,11 +114,14 @@ def grow_here(tree: int, node: int, station: np.ndarray, w: np.ndarray, yq: np.n
         n, s = _segment_sums(wt, starts), _segment_sums(wt * yt, starts)
         low, high = np.minimum.reduceat(xt, starts, axis=0), np.maximum.reduceat(xt, starts, axis=0)
         mixes = np.minimum.reduceat(yt, starts) < np.maximum.reduceat(yt, starts)
-        draws = np.stack([mixed(tree, nodes, f, settings.seed) for f in range(features)], axis=1) / float(PRIME)
-        cuts = low + draws * (high - low)
-        left = xt <= cuts[of_row]
-        gains = _gain(_segment_sums(left * wt[:, None], starts), _segment_sums(left * (wt * yt)[:, None], starts),
-                      n[:, None], s[:, None], settings.min_leaf)
+        if settings.best:
+            cuts, gains = _best_cuts(xt, wt, yt, of_row, n, s, settings.min_leaf)
+        else:
+            draws = np.stack([mixed(tree, nodes, f, settings.seed) for f in range(features)], axis=1) / float(PRIME)
+            cuts = low + draws * (high - low)
+            left = xt <= cuts[of_row]
+            gains = _gain(_segment_sums(left * wt[:, None], starts), _segment_sums(left * (wt * yt)[:, None], starts),
+                          n[:, None], s[:, None], settings.min_leaf)
         gains[low >= high] = -np.inf
         feature = gains.argmax(axis=1)
         best = gains[np.arange(len(nodes)), feature]
@@ -128,6 +148,24 @@ def grow_here(tree: int, node: int, station: np.ndarray, w: np.ndarray, yq: np.n
     return out
 
 
+def _best_cuts(x, w, yq, of_row, n, s, min_leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each feature after which a node splits best, the lowest of equals, and the gain."""
+    cuts, gains = np.zeros((len(n), x.shape[1])), np.zeros((len(n), x.shape[1]))
+    for f in range(x.shape[1]):
+        order = np.lexsort((x[:, f], of_row))
+        node, value = of_row[order], x[order, f]
+        runs = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (value[1:] != value[:-1])])
+        of_run = node[runs]
+        first = np.flatnonzero(np.r_[True, of_run[1:] != of_run[:-1]])
+        sums = [np.add.reduceat(v[order], runs).cumsum() for v in (w, w * yq)]
+        nl, sl = (v - np.r_[0, v][first][of_run] for v in sums)
+        gain = _gain(nl, sl, n[of_run], s[of_run], min_leaf)
+        gains[:, f] = np.maximum.reduceat(gain, first)
+        hits = np.flatnonzero(gain == gains[of_run, f])
+        cuts[:, f] = value[runs[hits[np.unique(of_run[hits], return_index=True)[1]]]]
+    return cuts, gains
+
+
 def _gain(nl, sl, n, s, min_leaf: int) -> np.ndarray:
     """Sum over both sides of squared sum by count, or minus infinity where a side is too small."""
     nr, sr = (n - nl).astype(float), (s - sl).astype(float)
@@ -148,11 +186,13 @@ def _small_forests(rows: DataFrame, features: int, settings: TreeSettings) -> Da
     chunks = -(-settings.trees // CHUNK)
 
     def grown(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        arrays, total = _arrays(frame, features), np.zeros(len(frame))
+        station, w, yq, x = _arrays(frame, features)
+        asked, total, rows_of = w == 0, np.zeros(len(frame)), frame["row"].fillna(0).to_numpy().astype(np.int64)
         numbers = range(key[1] * CHUNK, min((key[1] + 1) * CHUNK, settings.trees))
         for tree in numbers:
-            total += grow_here(tree, 1, *arrays, settings)
-        asked = frame["w"].to_numpy() == 0
+            own = np.where(asked, 0, w * times_drawn(tree, rows_of, settings.seed)) if settings.bootstrap else w
+            used = asked | (own > 0)
+            total[used] += grow_here(tree, 1, station[used], own[used], yq[used], x[used], settings)
         return pd.DataFrame({"forest": frame["forest"][asked], "row": frame["row"][asked], "total": total[asked],
                              "trees": len(numbers)})
 
@@ -193,6 +233,9 @@ def _gain_column(nl: Column, sl: Column, min_leaf: int) -> Column:
 
 def _splits(work: DataFrame, stations: DataFrame, nodes: DataFrame, features: int, settings: TreeSettings) -> DataFrame:
     """The best split of every open node: feature and cut, or chosen station; none of them if no split fits."""
+    if settings.best:
+        numeric, cuts = _best_numeric(work, nodes, features, settings)
+        return _with_stations(numeric, cuts, stations, settings)
     wide = F.lit(float(PRIME))
     cuts = nodes.where("fate = 'open'").select(*KEY, "n", "s", *[
         F.when(F.col(f"low{i}") < F.col(f"high{i}"), F.col(f"low{i}") + mixed(F.col("tree"), F.col("node"), i, settings.seed).cast(
@@ -204,6 +247,27 @@ def _splits(work: DataFrame, stations: DataFrame, nodes: DataFrame, features: in
     numeric = cuts.join(left, list(KEY)).select(*KEY, "n", "s", F.array_max(F.array(*[
         F.when(gain.isNotNull(), F.struct(gain.alias("gain"), F.lit(-i).alias("minus"), F.col(f"cut{i}").alias("cut")))
         for i in range(features) for gain in [_gain_column(F.col(f"nl{i}"), F.col(f"sl{i}"), settings.min_leaf)]])).alias("best"))
+    return _with_stations(numeric, cuts, stations, settings)
+
+
+def _best_numeric(work: DataFrame, nodes: DataFrame, features: int, settings: TreeSettings) -> tuple[DataFrame, DataFrame]:
+    """The best edge of every open node over all features, from sums by node, feature and bin; and the open nodes."""
+    open_ = staged(nodes.where("fate = 'open'").select(*KEY, "n", "s"))
+    values = F.posexplode(F.array(*[F.col(f"x{i}") for i in range(features)])).alias("f", "x")
+    cells = work.where("w > 0").join(open_.select(*KEY), list(KEY)).select(*KEY, "w", "yq", values)
+    cells = cells.groupBy(*KEY, "f", "x").agg(F.sum("w").alias("nl"), F.sum(F.col("w") * F.col("yq")).alias("sl"))
+    upto = Window.partitionBy(*KEY, "f").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # at most 255 rows
+    cells = cells.withColumns({"nl": F.sum("nl").over(upto), "sl": F.sum("sl").over(upto)}).join(open_, list(KEY))
+    gain = _gain_column(F.col("nl"), F.col("sl"), settings.min_leaf)
+    best = cells.select(*KEY, "f", "x", gain.alias("gain")).where("gain IS NOT NULL").groupBy(*KEY).agg(
+        F.min(F.struct((-F.col("gain")).alias("less"), F.col("f").alias("f"), F.col("x").alias("x"))).alias("b"))
+    found = F.struct((-F.col("b.less")).alias("gain"), (-F.col("b.f")).alias("minus"), F.col("b.x").alias("cut"))
+    return open_.join(best, list(KEY), "left").select(
+        *KEY, "n", "s", F.when(F.col("b").isNotNull(), found).alias("best")), open_
+
+
+def _with_stations(numeric: DataFrame, cuts: DataFrame, stations: DataFrame, settings: TreeSettings) -> DataFrame:
+    """The better of the numeric split and the best station of every open node."""
     own = stations.where("n > 0").select(*KEY, "station", F.col("n").alias("n_own"), F.col("s").alias("s_own")).join(cuts, list(KEY))
     gain = _gain_column(F.col("n_own"), F.col("s_own"), settings.min_leaf)
     by_station = own.select(*KEY, "station", gain.alias("gain")).where("gain IS NOT NULL").groupBy(*KEY).agg(
@@ -221,8 +285,13 @@ def _grown(rows: DataFrame, features: int, first: int, end: int, settings: TreeS
         asked = frame["w"].to_numpy() == 0
         return pd.DataFrame({"forest": frame["forest"][asked], "row": frame["row"][asked], "total": values[asked]})
 
-    work = staged(rows.withColumns({
-        "tree": F.explode(F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"))), "node": F.lit(1).cast("long")}))
+    work = rows.withColumns({
+        "tree": F.explode(F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"))), "node": F.lit(1).cast("long")})
+    if settings.bootstrap:
+        asked = F.col("w") == 0
+        work = work.withColumns({"asked": asked, "w": F.col("w") * times_drawn(F.col("tree"), F.col("row"), settings.seed)})
+        work = work.where("asked OR w > 0").withColumn("w", F.when(F.col("asked"), 0).otherwise(F.col("w"))).drop("asked")
+    work = staged(work)
     out, depth = [], 0
     while True:
         stations, nodes = _nodes(work, features, settings, depth)
@@ -255,9 +324,25 @@ def _grown(rows: DataFrame, features: int, first: int, end: int, settings: TreeS
         work, depth = after, depth + 1
 
 
+def _binned(rows: DataFrame, features: int) -> DataFrame:
+    """``rows`` with every feature as the number of the quantile edges of the train rows that lie below it."""
+    marks = [k / BINS for k in range(1, BINS)]
+    rows = staged(rows)
+    facts = rows.where("w > 0").agg(*[F.percentile_approx(f"x{i}", marks, SKETCH) for i in range(features)]).first()
+    edges = [np.unique(np.array(e or [], float)) for e in facts]
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({f"x{i}": np.searchsorted(e, frame[f"x{i}"].to_numpy(), side="left").astype(float)
+                                for i, e in enumerate(edges)} | {"row": frame["row"].astype("Int64"), "yq": frame["yq"].astype("Int64"),
+                                                                 "forest": frame["forest"], "station": frame["station"], "w": frame["w"]})
+
+    return rows.mapInPandas(numbered, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields))
+
+
 def predict_forests(rows: DataFrame, features: int, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """forest, row, yhat for the rows of weight 0 of ``tree_rows``: the mean over all trees of their forest."""
-    rows = staged(rows)
+    rows = staged(_binned(rows, features) if settings.best else rows)
     sizes = staged(rows.groupBy("forest").agg(F.count(F.lit(1)).alias("rows")))
     small = sizes.where(F.col("rows") <= settings.local_rows).select("forest")
     large = sizes.where(F.col("rows") > settings.local_rows).select("forest", "rows")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stationflow.functions.cleaning import DATE_FORMATS, as_date, as_long, require_columns, sum_present
@@ -34,6 +35,23 @@ def year_span(hourly: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataF
     return hourly.agg(F.year(F.min(day)).alias("min_year"), F.year(F.max(day)).alias("max_year"))
 
 
+def source_facts(hourly: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> list[Column]:
+    """What is to be known of hourly rows: their number, how many dates are unreadable, first and last year."""
+    day = as_date(hourly, "date", formats)
+    return [F.count(F.lit(1)).alias("rows"), F.count(F.when(day.isNull(), 1)).alias("unreadable_dates"),
+            F.year(F.min(day)).alias("min_year"), F.year(F.max(day)).alias("max_year")]
+
+
+def observed(hourly: DataFrame, facts: Sequence[Column], write: Callable[[DataFrame], None]) -> dict:
+    """``facts`` of the rows, taken while ``write`` reads them for its own ends."""
+    watch = Observation()
+    write(hourly.observe(watch, *facts))
+    try:
+        return watch.get
+    except Py4JJavaError:  # a plan that turns out empty is dropped while it runs, and what it observed with it
+        return hourly.agg(*facts).first().asDict()
+
+
 def direction_day(lanes: DataFrame) -> DataFrame:
     """Volume per station, date and direction.
 

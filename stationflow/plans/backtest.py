@@ -19,7 +19,7 @@ from stationflow.operators.folds import backtest_rows, score_folds, test_rows
 from stationflow.operators.least_squares import StationSums
 from stationflow.operators.penalised import Penalty, fit_penalised
 from stationflow.operators.robust import fit_huber
-from stationflow.plans.bakeoff import predict_boosted_rows
+from stationflow.plans.bakeoff import place_of_row, predict_boosted_rows
 from stationflow.plans.models import ModelSpec, vector_estimator
 
 
@@ -56,7 +56,7 @@ def rolling_backtest(panel: DataFrame, cfg: BacktestConfig = BacktestConfig(),
 
 def _extra_trees(rows: DataFrame, tested: DataFrame, cfg: BacktestConfig, features, spec: ModelSpec) -> DataFrame:
     trained = first_fold_trained(rows, cfg).withColumn("fold", F.explode(F.sequence("since", "until")))
-    both = tree_rows(trained, features, cfg.target, F.col("fold"), F.lit(None), F.lit(1)).unionByName(
+    both = tree_rows(trained, features, cfg.target, F.col("fold"), place_of_row(), F.lit(1)).unionByName(
         tree_rows(tested, features, cfg.target, F.col("fold"), F.col("row"), F.lit(0)))
     # folds without a test row are not grown
     wanted = tested.select(F.col("fold").cast("long").alias("forest")).distinct()

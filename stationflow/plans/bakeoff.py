@@ -40,13 +40,18 @@ def _tree_inputs(rows: DataFrame, features: Sequence[str], target: str, row: Col
     return tree_rows(raw, features, target, F.lit(0), row, F.lit(weight))
 
 
+def place_of_row() -> Column:
+    """A number for a train row that does not depend on how rows were dealt out: draws are made by it."""
+    return F.col("station_id") * 100_000 + F.unix_date("date")
+
+
 def predict_boosted_rows(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, spec: ModelSpec, out: str,
                          key: str) -> DataFrame:
     """``rows`` with the prediction of a boosted model fitted on ``train``; ``key`` tells rows apart.
 
     Train rows are drawn and held out by station and day, so that it does not matter how they were dealt out.
     """
-    place = F.col("station_id") * 100_000 + F.unix_date("date")
+    place = place_of_row()
     raw = train.withColumns({f: numeric(f) for f in features})
     fitted = staged(raw.select(
         place.alias("row"), F.col("station_id").alias("station"), F.col(target).alias("y"),
@@ -124,7 +129,7 @@ class Workbench:
             means = neighbour_means(self._near[1], [k]).select("qid", F.col(spec.name).alias(out))
             return rows.join(means, "qid", "left")
         if spec.kind == "extra_trees":
-            both = _tree_inputs(self.train, self.features, self.target, F.col("qid"), 1).unionByName(
+            both = _tree_inputs(self.train, self.features, self.target, place_of_row(), 1).unionByName(
                 _tree_inputs(rows, self.features, self.target, F.col("qid"), 0))
             found = predict_forests(both, len(self.features), TreeSettings(**spec.params))
             return rows.join(found.select(F.col("row").alias("qid"), F.col("yhat").alias(out)), "qid", "left")

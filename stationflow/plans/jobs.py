@@ -8,15 +8,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.config import BacktestConfig, MartConfig, PanelConfig
-from stationflow.functions.cleaning import DATE_FORMATS, as_date
+from stationflow.functions.cleaning import DATE_FORMATS
 from stationflow.lineage import discard_path, settle
 from stationflow.operators.eligibility import eligibility_stats
-from stationflow.operators.hourly import direction_day, lane_totals
+from stationflow.operators.hourly import direction_day, lane_totals, observed, source_facts
 from stationflow.operators.panel import build_panel
 from stationflow.operators.station_day import station_coverage, station_day
 from stationflow.plans import forecast_reports as FR
@@ -27,6 +26,7 @@ from stationflow.plans.models import ModelSpec, model_zoo, pick_model
 from stationflow.schemas import YEAR_FOLDER
 from stationflow.sources.readers import load_panel, load_station_day, read_hourly
 from stationflow.sources.writers import coverage_name, descending, station_day_name, write_table
+from stationflow.streaming.chunked_ingest import chunked_direction_day, chunked_facts, ingest_chunks
 
 
 def _moved(spark: SparkSession, old: str, new: str) -> None:
@@ -39,30 +39,36 @@ def _moved(spark: SparkSession, old: str, new: str) -> None:
 
 
 def build_station_days(spark: SparkSession, source: str, outdir: str, report: MartConfig = MartConfig(),
-                       fmt: str = "parquet", formats: Sequence[str] = DATE_FORMATS, seen: dict | None = None) -> tuple[str, str]:
+                       fmt: str = "parquet", formats: Sequence[str] = DATE_FORMATS, seen: dict | None = None,
+                       work: str | None = None, files_per_chunk: int = 16) -> tuple[str, str]:
     """Hourly files -> station-day table and coverage table; returns the two paths.
 
     The source is read once: what the file name says (first and last year) and what must be known of it is observed while
     the table is written, which then gets its name. ``seen`` is told the rows read and those whose date is unreadable.
     ``formats`` are the forms of dates besides ISO; a source without any row, or any readable date, is an error.
     As Parquet the station-day table is split by year, so the window filter skips whole folders.
+
+    With ``work``, a shared folder, a folder of files is taken in chunk by chunk: a run that is cut off goes on after its last
+    finished chunk, and a later run reads only files that are new.
     """
-    hourly = read_hourly(spark, source, check=False)
-    day = as_date(hourly, "date", formats)
-    told = [F.count(F.lit(1)).alias("rows"), F.count(F.when(day.isNull(), 1)).alias("unreadable_dates"),
-            F.year(F.min(day)).alias("min_year"), F.year(F.max(day)).alias("max_year")]
-    watch = Observation("hourly rows")
-    days = station_day(direction_day(lane_totals(hourly.observe(watch, *told), source, formats)))
     ending = ".csv" if fmt == "csv" else ""
     draft = f"{outdir}/_station_day_{uuid.uuid4().hex}{ending}"
-    if fmt == "parquet":
-        write_table(days.withColumn(YEAR_FOLDER, F.year("date")), draft, fmt, partition_by=[YEAR_FOLDER])
+
+    def written(totals: DataFrame) -> None:
+        days = station_day(totals)
+        if fmt == "parquet":
+            write_table(days.withColumn(YEAR_FOLDER, F.year("date")), draft, fmt, partition_by=[YEAR_FOLDER])
+        else:
+            write_table(days, draft, fmt, order=["station_id", "date"])
+
+    if work:
+        ingest_chunks(spark, source, work, files_per_chunk, formats)
+        written(chunked_direction_day(spark, work))
+        facts = chunked_facts(spark, work)
     else:
-        write_table(days, draft, fmt, order=["station_id", "date"])
-    try:
-        facts = watch.get
-    except Py4JJavaError:  # a plan that turns out empty is dropped while it runs, and what it observed with it
-        facts = hourly.agg(*told).first().asDict()
+        hourly = read_hourly(spark, source, check=False)
+        facts = observed(hourly, source_facts(hourly, formats),
+                         lambda rows: written(direction_day(lane_totals(rows, source, formats))))
     if seen is not None:
         seen.update(facts)
     if not facts["rows"] or facts["min_year"] is None:

@@ -57,9 +57,8 @@ def model_zoo(seed: int = 7, counts: TreeCounts = TreeCounts()) -> dict[str, Mod
         for weights in ("dist", "uniform"):
             specs.append(ModelSpec(f"KNN_k{k}_{weights}", "neighbours", {"k": k, "weights": weights}))
     specs += [
-        ModelSpec(f"RandomForest_{counts.forest}_leaf2", "forest", dict(
-            numTrees=counts.forest, minInstancesPerNode=2, featureSubsetStrategy="all", maxDepth=DEEPEST, seed=seed),
-            "depth limit 30"),
+        ModelSpec(f"RandomForest_{counts.forest}_leaf2", "extra_trees", dict(
+            trees=counts.forest, min_leaf=2, seed=seed, best=True, bootstrap=True), "splits at 254 quantiles of each feature"),
         ModelSpec(f"ExtraTrees_{counts.extra}_leaf1", "extra_trees", dict(trees=counts.extra, min_leaf=1, seed=seed)),
         ModelSpec(f"GradientBoosting_{counts.boosting}_lr0.05_depth3_sub0.8", "boosting", dict(
             rounds=counts.boosting, rate=0.05, deepest=3, leaves=8, min_leaf=1, subsample=0.8, seed=seed),

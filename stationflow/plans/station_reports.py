@@ -11,6 +11,7 @@ from stationflow.functions.cleaning import drop_incomplete, with_valid_day
 from stationflow.lineage import settle
 from stationflow.operators.eligibility import days_in_window, only_eligible
 from stationflow.operators.order_statistics import grouped_quantiles
+from stationflow.operators.sketches import K, merged_sketches, quantile_sketches, sketch_quantiles
 
 
 def _trailing(order: str, rows: int) -> Window:
@@ -50,6 +51,19 @@ def ratio_to_baseline_weekly(days: DataFrame, cfg: PanelConfig, report: MartConf
     return weekly.withColumn("median_roll_std_13w", deviation).drop("n")
 
 
+def daily_ratio_sketches(days: DataFrame, cfg: PanelConfig, report: MartConfig, k: int = K) -> DataFrame:
+    """date, week_ending, sketch, n: the ratios of a day as a sketch, to be kept and merged by whatever period is asked for."""
+    return quantile_sketches(ratio_to_baseline(days, cfg, report), ["date", "week_ending"], "ratio", k)
+
+
+def ratio_weekly_sketched(daily: DataFrame, k: int = K) -> DataFrame:
+    """As ``ratio_to_baseline_weekly``, from daily sketches: ranks are off by a small share of the rows (see ``sketches``)."""
+    weekly = sketch_quantiles(merged_sketches(daily, ["week_ending"], k), ["week_ending"], {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    frame = _trailing("week_ending", 13)
+    deviation = F.when(F.count("median").over(frame) >= 8, F.stddev_samp("median").over(frame))
+    return weekly.withColumn("median_roll_std_13w", deviation)
+
+
 def volatility_change(weekly: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Median 13-week deviation before and after the window start, and its reduction in percent."""
     before = F.col("week_ending") < F.lit(cfg.window_start)

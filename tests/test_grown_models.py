@@ -308,3 +308,52 @@ def test_backtest_of_other_models(synthetic_panel, spec):
     cfg = BacktestConfig(min_train_days=450, step_days=84, parallel_fits=2)
     got = rolling_backtest(synthetic_panel, cfg, ("y_lag_7", "y_roll_mean_28"), spec).collect()
     assert len(got) >= 1 and all(r["vol_rmse_et"] > 0 for r in got)
+
+
+# --- random forests ------------------------------------------------------------------------------
+
+def plain_forest_tree(tree, rows, station, bins, yq, times, asked, settings, depth=0):
+    """As ``plain_tree``, with the best edge of every feature and rows that count ``times``."""
+    here = [i for i in rows if i not in asked]
+    n, s = sum(times[i] for i in here), sum(times[i] * int(yq[i]) for i in here)
+    best = None
+    if len({int(yq[i]) for i in here}) > 1 and depth < settings.deepest:
+        tries = [(lambda i, f=f, e=e: bins[i, f] <= e) for f in range(bins.shape[1]) for e in sorted({bins[i, f] for i in here})]
+        tries += [(lambda i, st=st: station[i] == st) for st in sorted({int(station[i]) for i in here})]
+        for left in tries:
+            nl, sl = sum(times[i] for i in here if left(i)), sum(times[i] * int(yq[i]) for i in here if left(i))
+            if min(nl, n - nl) < settings.min_leaf:
+                continue
+            gain = float(sl) * float(sl) / nl + float(s - sl) * float(s - sl) / (n - nl)
+            if best is None or gain > best[0]:
+                best = (gain, left)
+    if best is None:
+        return {i: s / n / ET.SCALE for i in rows if i in asked}
+    sides = [i for i in rows if best[1](i)], [i for i in rows if not best[1](i)]
+    return plain_forest_tree(tree, sides[0], station, bins, yq, times, asked, settings, depth + 1) | plain_forest_tree(
+        tree, sides[1], station, bins, yq, times, asked, settings, depth + 1)
+
+
+@pytest.mark.parametrize("local_rows, deepest", [(10_000, 62), (40, 62), (0, 4)])
+def test_random_forest_equals_plain_trees_wherever_nodes_are_finished(spark, local_rows, deepest):
+    station, x, y = made(160, stations=4)
+    held = np.arange(len(y)) % 4 == 0
+    settings = ET.TreeSettings(trees=2, min_leaf=2, seed=5, deepest=deepest, local_rows=local_rows, best=True, bootstrap=True)
+    got = {r["row"]: r["yhat"] for r in ET.predict_forests(tree_table(spark, station, x, y, held), 3, settings).collect()}
+    marks = [k / ET.BINS for k in range(1, ET.BINS)]
+    edges = [np.unique([np.sort(x[~held, f])[max(1, int(np.ceil(m * (~held).sum()))) - 1] for m in marks]) for f in range(3)]
+    bins = np.column_stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)])
+    yq, asked = np.round(y * ET.SCALE).astype(np.int64), set(np.flatnonzero(held).tolist())
+    values = []
+    for t in range(2):
+        times = np.where(held, 0, ET.times_drawn(t, np.arange(len(y)), 5)).tolist()
+        rows = [i for i in range(len(y)) if i in asked or times[i]]
+        values.append(plain_forest_tree(t, rows, station, bins, yq, times, asked, settings))
+    assert set(got) == asked
+    for i in asked:
+        assert got[i] == pytest.approx(np.mean([v[i] for v in values]), rel=1e-12)
+
+
+def test_rows_are_drawn_as_by_a_poisson_law():
+    times = np.concatenate([ET.times_drawn(t, np.arange(-2_000, 20_000), 7) for t in range(5)])
+    assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.03 and abs((times == 0).mean() - np.exp(-1)) < 0.01

@@ -57,3 +57,23 @@ def test_global_position(spark):
     expected = {r["id"]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r["v"], r["id"])))}
     assert {r["id"]: r["position"] for r in rows} == expected
     assert {r["n_total"] for r in rows} == {5_000}
+
+
+def test_sketches_merge_and_keep_their_rank_error(spark):
+
+    from stationflow.operators.sketches import merged_sketches, quantile_sketches, sketch_quantiles
+
+    groups = data()
+    rows = [(k, i % 13, float(x)) for k, v in groups.items() for i, x in enumerate(v)] + [("a", 1, None), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, day int, x double").repartition(6)
+    for size, error in ((200, 0.03), (4096, 0.002)):
+        daily = quantile_sketches(df, ["k", "day"], "x", size)
+        assert daily.count() == sum(min(13, len(v)) for v in groups.values())
+        got = {r["k"]: r for r in sketch_quantiles(merged_sketches(daily, ["k"], size), ["k"], PROBS).collect()}
+        assert set(got) == set(groups)
+        for k, values in groups.items():
+            assert got[k]["n"] == len(values)
+            for name, p in PROBS.items():
+                low, high = (values < got[k][name]).mean(), (values <= got[k][name]).mean()
+                slack = error if len(values) >= size else 1 / len(values)
+                assert low - slack <= p <= high + slack and got[k][name] in values

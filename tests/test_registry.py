@@ -34,9 +34,10 @@ def comparable(pdf: pd.DataFrame) -> list[tuple]:
     "station_day_text", "eligibility_stats_by_region", "panel_features", "baseline_comparison", "backtest_summary",
     "knn_exact", "dow_profile", "improvement_trend", "win_rate", "direction_day_dates", "station_day_loaded",
     "valid_day_flags", "finite_values", "ridge_scores", "comparison_ranked", "backtest_gap_fold",
-    "backtest_summary_stated", "ratio_to_baseline_weekly_many", "dow_profile_many", "extra_trees_scores", "extra_trees_levels_scores",
+    "backtest_summary_stated", "ratio_to_baseline_weekly_many", "dow_profile_many", "extra_trees_scores", "extra_trees_levels_scores", "random_forest_scores",
+    "random_forest_levels_scores",
     "backtest_extra_trees", "hist_boosting_scores", "hist_boosting_passes_scores", "gradient_boosting_scores", "lasso_scores",
-    "elastic_net_scores", "huber_scores", "backtest_ridge",
+    "ratio_weekly_sketched", "elastic_net_scores", "huber_scores", "backtest_ridge",
 ])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

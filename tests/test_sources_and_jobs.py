@@ -227,3 +227,33 @@ def test_two_rows_for_one_day_are_an_error(spark, synthetic_days, synthetic_cfg)
     twice = synthetic_days.unionByName(synthetic_days.where("station_id = 2 AND date = DATE '2022-03-05'"))
     with pytest.raises(Exception, match="station 2 has more than one row for 2022-03-05"):
         build_panel(twice, synthetic_cfg).collect()
+
+
+def test_a_chunked_job_that_is_cut_off_goes_on(spark, tmp_path, monkeypatch):
+    from stationflow.streaming import chunked_ingest
+
+    folder, work, out = tmp_path / "in", str(tmp_path / "work"), str(tmp_path / "out")
+    folder.mkdir()
+    rows = YEARS["2020"] + YEARS["2021"]
+    for i in range(4):
+        write_csv(folder / f"{i}.csv", [(s + 10 * i, *rest) for s, *rest in rows])
+    real, done = chunked_ingest.observed, []
+
+    def cut_off(chunk, facts, write):
+        if len(done) == 2:
+            raise RuntimeError("the lights went out")
+        found = real(chunk, facts, write)
+        done.append(found["rows"])
+        return found
+
+    monkeypatch.setattr(chunked_ingest, "observed", cut_off)
+    with pytest.raises(Exception, match="the lights went out"):
+        jobs.build_station_days(spark, str(folder), out, work=work, files_per_chunk=1)
+    monkeypatch.setattr(chunked_ingest, "observed", lambda *a: done.append(0) or real(*a))
+    seen: dict = {}
+    days_path, _ = jobs.build_station_days(spark, str(folder), out, work=work, files_per_chunk=1, seen=seen)
+    assert len(done) == 4 and done[:2] == [6, 6]  # the first two chunks were not read again
+    assert seen == {"rows": 24, "unreadable_dates": 4, "min_year": 2020, "max_year": 2021}
+    plain, _ = jobs.build_station_days(spark, str(folder), str(tmp_path / "plain"))
+    first, second = (load_station_day(spark, p).drop("date_year") for p in (days_path, plain))
+    assert first.count() == 8 and first.exceptAll(second.select(first.columns)).isEmpty()
