@@ -16,8 +16,8 @@ counts words put in, left out or replaced, and the bound is one. A line is remov
   group is ever listed. Words of the line and of its choice are then compared, so that no line is
   removed for a collision of hashes.
 
-Minima are combined before every shuffle, and a digest or key is one row after it; the largest group
-of rows that meets is the words of one line.
+Minima are combined before every shuffle, and a digest or key is one row after it; where the minima go back to the
+lines, a line that very many documents hold is split. The largest group of rows that meets is the words of one line.
 
 Defined cases: null and empty texts have no lines, and blank lines are never removed; rows equal in
 doc_id and text count as one document; a null doc_id ranks first; "earlier" counts lines that are
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stationflow.lineage import staged
+from stationflow.llm.spread import join_spread
 
 MIN_WORDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,9 +48,15 @@ BROADCAST_LINES = 400_000
 def _text_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # one character to split at is much cheaper than a pattern; explode keeps filters on the words from splitting again
-    words = F.array_remove(F.split(F.translate("line", UPPER + WHITE, LOWER + " " * len(WHITE)), " "), "")
-    return lines.select("doc_id", "text_hash", "line_no", F.explode(F.array(words)).alias("words")).where(F.size("words") > 0)
+    lines = lines.withColumn("low", F.translate("line", UPPER + WHITE, LOWER + " " * len(WHITE)))
+    # explode keeps filters on the words from splitting again
+    return lines.select("doc_id", "text_hash", "line_no", "low", F.explode(F.array(_words(F.col("low")))).alias("words")).where(
+        F.size("words") > 0)
+
+
+def _words(low: Column) -> Column:
+    """One character to split at is much cheaper than a pattern."""
+    return F.array_remove(F.split(low, " "), "")
 
 
 def _digests(words: Column) -> list[Column]:
@@ -124,13 +131,13 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (rest(a, more_a) == rest(b, more_b))
 
 
-def _near(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+def _near(distinct: DataFrame, all_lines: DataFrame, min_words: int) -> DataFrame:
     """h1, h2, near: the earliest line one edit away, for lines that have one earlier than themselves."""
     partners = staged(_partners(distinct.where(F.col("n") >= min_words)))
-    text = _text_lines(docs).where(F.size("words") >= min_words)
-    text = text.select(*_digests(F.col("words")), "words")
+    text = all_lines.where("low IS NOT NULL").select(*LINE, "low")
     few = partners.count() <= BROADCAST_LINES
     text = text.join(F.broadcast(partners) if few else partners, LINE).dropDuplicates(LINE)
+    text = text.select(*LINE, _words(F.col("low")).alias("words"), "head", "tail")
     lines = staged(text.join(distinct.select(*LINE, "first"), LINE))
     keys = staged(_keys(lines))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key")
@@ -156,13 +163,15 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words = F.col("words")
     lines = _text_lines(docs).withColumn("n", F.size("words"))
     lines = staged(lines.select(
-        "doc_id", "text_hash", "line_no", *_digests(words), "n", F.when(F.col("n") >= min_words, _halves()).alias("halves")))
+        "doc_id", "text_hash", "line_no", *_digests(words), "n", F.when(F.col("n") >= min_words, _halves()).alias("halves"),
+        F.when(F.col("n") >= min_words, F.col("low")).alias("low")))
     rank = F.struct("doc_id", "text_hash", "line_no")
     distinct = staged(lines.groupBy(*LINE).agg(
         F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    near = _near(distinct, docs, min_words)
-    early = distinct.select(*LINE, "first", "copies").join(near, LINE, "left").where("copies > 1 OR near IS NOT NULL")
-    found = lines.select("doc_id", "text_hash", "line_no", *LINE).join(early, LINE)
+    near = _near(distinct, lines, min_words)
+    early = staged(distinct.select(*LINE, "first", "copies").join(near, LINE, "left").where("copies > 1 OR near IS NOT NULL"))
+    found = join_spread(lines.select("doc_id", "text_hash", "line_no", *LINE), early, LINE, F.col("copies"),
+                        F.xxhash64("doc_id", "line_no"))
     best = F.least("first", F.coalesce("near", "first"))
     found = found.withColumns({"best": best, "exact": F.col("near").isNull()}).where(rank > F.col("best"))
     return found.select(

@@ -176,3 +176,17 @@ def test_few_of_many_clustered_vectors_are_visited(spark):
         assert own.sort_values("rank")["score"].to_numpy() == pytest.approx(np.sort(scores[own["vec_id"]])[::-1], abs=1e-12)
     print("visited", report)
     assert hits / (10 * len(asked)) >= 0.9 and report["share"] < 0.3 and len(got) == 10 * len(asked)
+
+
+# --- lines: far sides of plan choices ---------------------------------------------------------------
+
+def test_removed_lines_do_not_depend_on_how_joins_are_made(spark, docs_of, monkeypatch):
+    from stationflow.llm import line_dedup, spread
+
+    rng = random.Random(6)
+    lines = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(3, 9))) for _ in range(15)]
+    pairs = [(i, "\n".join([*(rng.choice(lines) for _ in range(6)), "the same line in all of them"])) for i in range(40)]
+    expected = sorted(map(tuple, line_dedup.removed_lines(docs_of(pairs)).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_dedup, "join_spread", lambda *a: spread.join_spread(*a, many=5))
+    assert sorted(map(tuple, line_dedup.removed_lines(docs_of(pairs)).collect())) == expected and len(expected) > 100
