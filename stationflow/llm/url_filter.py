@@ -47,6 +47,19 @@ SOFT = (
     "tracker", "video", "videos", "win", "winner",
 )
 MIN_SOFT = 2
+MOST_TERMS = 200_000  # of a vocabulary read from a table: it goes to every task as one automaton
+
+
+def vocabulary_of(table: DataFrame, term: str = "term", weight: str = "weight", most: int = MOST_TERMS) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict terms (a weight of one or more) and soft terms (a weight below) of a table, A-Z lower-cased, in order.
+
+    Terms without a weight above zero say nothing and are left out; a term listed twice has its larger weight.
+    """
+    rows = table.select(F.translate(term, UPPER, LOWER).alias("term"), F.col(weight).cast("double").alias("weight"))
+    rows = rows.where("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} terms")
+    return tuple(tuple(sorted(r["term"] for r in rows if (r["weight"] >= 1) == strict)) for strict in (True, False))
 
 
 def host_of(url: Column) -> Column:
