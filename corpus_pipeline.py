@@ -40,6 +40,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+# Texts come to Python tasks in batches of half the size that the operators ask for by themselves: the heap has grown over
+# the stages before, and what Arrow holds comes on top of it.
+BATCH_BYTES = 2 << 20
+
 # What the last call of a stage left in the shared folder: it is read until the stage's result is written, which it is
 # when the next stage starts.
 _left: dict[int, list[str]] = {}
@@ -49,6 +53,7 @@ def _tidy(number: int, stage):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for path in _left.pop(number - 1, []):
             discard_path(spark, path)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         with noted() as paths:
             out = stage(spark, docs, sf_dir)
         _left[number] = paths
