@@ -36,7 +36,7 @@ BLOCK = 1 << 18  # ids decoded at a time
 SHIFT = 32  # a pair of ids as one number
 LARGE = 24  # positions of a bucket from which arrays are quicker than one by one
 SMALL_ONES = 200
-KNOWN_WORDS = 300_000  # pre-tokens remembered before all are forgotten
+KNOWN_WORDS = 400_000  # pre-tokens remembered before those not in use are forgotten; some 200 bytes each
 
 
 class RankQueue:
@@ -282,9 +282,10 @@ class ByteBpe:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts, as little-endian unsigned 32-bit integers."""
         words = [self.find(well_formed(t)) if t else [] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        missing = list(set().union(*words).difference(self.known)) if words else []
+        own = set().union(*words)
+        if len(self.known) > KNOWN_WORDS:  # what this batch has in common with those before is worth keeping
+            self.known = {w: self.known[w] for w in own if w in self.known}
+        missing = [w for w in own if w not in self.known]
         self.known.update(zip(missing, self.merge_all([w.encode() for w in missing])))
         get = self.known.__getitem__
         return [b"".join(map(get, own)) for own in words]

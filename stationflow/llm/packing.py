@@ -182,6 +182,13 @@ def place(rows: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id",
 
 
 def packed(docs: DataFrame, path: str, pattern: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """Pieces with their digest, place and, if wanted, ids (packed little-endian unsigned 32-bit integers)."""
+    """Pieces with their digest, place and, if wanted, ids (packed little-endian unsigned 32-bit integers).
+
+    Ranks are counted over rows without their ids; the ids, dealt evenly by row, meet their place at the end.
+    """
     rows = cut(docs, path, pattern, size, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    return place(staged(rows if with_ids else rows.drop("ids")), size)
+    if not with_ids:
+        return place(staged(rows.drop("ids")), size)
+    rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()))
+    places = place(rows.drop("ids"), size).select("__row", "sequence_id", "offset")
+    return rows.join(places, "__row").drop("__row")
