@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -30,6 +31,7 @@ from stationflow.operators import station_day as SD  # noqa: E402
 from stationflow.operators.least_squares import one_feature_line  # noqa: E402
 from stationflow.operators.neighbours import nearest, neighbour_means  # noqa: E402
 from stationflow.operators.eligibility import eligibility_stats, eligible_stations  # noqa: E402
+from stationflow.operators.order_statistics import grouped_quantiles  # noqa: E402
 from stationflow.operators.predictions import tidy_predictions  # noqa: E402
 from stationflow.plans import forecast_reports as FR  # noqa: E402
 from stationflow.plans import station_reports as SR  # noqa: E402
@@ -45,8 +47,10 @@ from stationflow.sources.readers import load_station_day  # noqa: E402
 try:  # the corpus operators stand apart: without them everything else still works
     import corpus_pipeline
     from stationflow.llm import queries as corpus
-except ImportError:
+except ImportError as missing:
     corpus_pipeline = corpus = None
+    if os.path.isdir(os.path.join(os.path.dirname(os.path.abspath(__file__)), "stationflow", "llm")):
+        warnings.warn(f"the corpus operators are left out: {missing}", stacklevel=1)
 
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOW, REPORT, BACKTEST = D.WINDOW, D.REPORT, BacktestConfig()
@@ -251,6 +255,12 @@ def comparison_ranked(spark, sf) -> DataFrame:
         "model", F.row_number().over(best_first).alias("place"), "test_VOL_RMSE")
 
 
+def week_quantiles_banded(spark, sf) -> DataFrame:
+    """Weekly quartiles over as many stations as there are suppliers, by the steps that large weeks take."""
+    ratios = settle(SR.ratio_to_baseline(_many_days(spark, sf), ANY_STATION, REPORT).select("week_ending", "ratio"))
+    return grouped_quantiles(ratios, ["week_ending"], "ratio", {"median": 0.5, "q25": 0.25, "q75": 0.75}, whole_below=40, accuracy=100)
+
+
 def backtest_gap_fold(spark, sf) -> DataFrame:
     """A panel without any row in the third test period: the fold is left out, the others keep their numbers."""
     rows = _fold_rows(spark, sf)
@@ -312,6 +322,7 @@ REGISTRY: dict[str, Query] = {
     "backtest_overlapping_folds": lambda s, d: _backtest(s, d, replace(BACKTEST, step_days=14)),
     "backtest_summary": lambda s, d: FR.backtest_summary(_backtest(s, d)),
     "ratio_to_baseline_weekly": lambda s, d: SR.ratio_to_baseline_weekly(_days(s, d), WINDOW, REPORT),
+    "week_quantiles_banded": week_quantiles_banded,
     "ratio_weekly_sketched": lambda s, d: SR.ratio_weekly_sketched(
         settle(SR.daily_ratio_sketches(_days(s, d), WINDOW, REPORT))),
     "volatility_change": lambda s, d: SR.volatility_change(

@@ -520,6 +520,9 @@ def oracle_sql() -> dict[str, str]:
               ORDER BY test_start LIMIT 1)"""),
         "ratio_to_baseline_weekly": q(sd + ELIGIBLE + RATIO, f"""SELECT week_ending,
             {r("median", "q25", "q75", "median_roll_std_13w")} FROM ratio_weekly"""),
+        "week_quantiles_banded": q(many + RATIO[:2] + [f"""weekly_ratio AS (
+            SELECT week_ending, count(*) AS n, {quantiles("ratio", median=0.5, q25=0.25, q75=0.75)} FROM ratios GROUP BY 1)"""],
+            f"SELECT week_ending, n, {r('median', 'q25', 'q75')} FROM weekly_ratio"),
         "ratio_weekly_sketched": q(sd + ELIGIBLE + SKETCHED, f"""SELECT week_ending, n,
             {r("median", "q25", "q75", "median_roll_std_13w")} FROM ratio_weekly"""),
         "volatility_change": q(sd + ELIGIBLE + RATIO, f"""SELECT {r("pre_median", "post_median", "reduction_pct")}

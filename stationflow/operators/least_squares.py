@@ -100,13 +100,16 @@ def reduced_system(row: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray
     return gram, np.array([*rest[:k], rest[2 * k + 1]])
 
 
-def fit_station_linear(sums: StationSums, alpha: float = 0.0) -> StationLinear:
-    """Ordinary least squares (``alpha`` 0) or ridge; ridge also shrinks the station effects."""
+def fit_station_linear(sums: StationSums, alpha: float = 0.0, penalty: Column | None = None) -> StationLinear:
+    """Ordinary least squares (``alpha`` 0) or ridge; ridge also shrinks the station effects.
+
+    ``penalty`` is a column of the sums that holds ``alpha``: with it the aggregate's code is the same for every alpha.
+    """
     k = len(sums.inputs)
     n, sy = F.col("n"), F.col("sy")
     s = [F.col(f"s{i}") for i in range(k)]
     shrunk = n + F.lit(float(alpha))
-    gram, right = reduced_system(sums.table.agg(*reduced_sums(k, F.lit(float(alpha)))).first(), k)
+    gram, right = reduced_system(sums.table.agg(*reduced_sums(k, F.lit(float(alpha)) if penalty is None else penalty)).first(), k)
     if alpha > 0:
         gram[np.arange(k), np.arange(k)] += alpha
         solved = np.linalg.solve(gram, right)

@@ -122,13 +122,14 @@ def report_tables(days: DataFrame | None = None, predictions: DataFrame | None =
     if days is not None:
         weekly = settle(SR.ratio_to_baseline_weekly(days, cfg, report))
         system = settle(SR.system_weekly(days, cfg))
-        weekparts = settle(SR.weekpart_by_station(days, cfg))
+        ratios = SR.winsorized_ratio(days, cfg)  # settled inside, read by two tables
+        weekparts = settle(SR.weekpart_by_station(days, cfg, ratios))
         tables |= {
             "ratio_to_baseline_weekly": weekly,
             "volatility_change": SR.volatility_change(weekly, cfg),
             "system_weekly": system,
             "period_flags": SR.period_flags(system, cfg, report),
-            "dow_profile": SR.dow_profile(days, cfg),
+            "dow_profile": SR.dow_profile(days, cfg, ratios),
             "weekpart_by_station": weekparts,
             "weekpart_summary": SR.weekpart_summary(weekparts),
         }
@@ -136,7 +137,7 @@ def report_tables(days: DataFrame | None = None, predictions: DataFrame | None =
         improvement = settle(FR.station_improvement(predictions))
         tiers = settle(FR.improvement_tiers(improvement))
         slots = settle(FR.example_stations(predictions))
-        examples = FR.example_forecasts(predictions, slots)
+        examples = settle(FR.example_forecasts(predictions, slots))
         tables |= {
             "station_improvement": improvement,
             "improvement_share": FR.improvement_share(improvement),

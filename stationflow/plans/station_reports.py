@@ -150,17 +150,17 @@ def station_by_weekday(ratios: DataFrame) -> DataFrame:
     return ratios.groupBy("station_id", "dow").agg(F.avg("ratio_w").alias("mean_ratio"))
 
 
-def dow_profile(days: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Quartiles over stations of the mean winsorized ratio, per day of week."""
-    means = settle(station_by_weekday(winsorized_ratio(days, cfg)))
+def dow_profile(days: DataFrame, cfg: PanelConfig, ratios: DataFrame | None = None) -> DataFrame:
+    """Quartiles over stations of the mean winsorized ratio, per day of week; ``ratios`` if they are at hand."""
+    means = settle(station_by_weekday(winsorized_ratio(days, cfg) if ratios is None else ratios))
     profile = grouped_quantiles(means, ["dow"], "mean_ratio", {"p25": 0.25, "med": 0.5, "p75": 0.75})
     return profile.select("dow", weekday_name(F.col("dow")).alias("dow_name"), "p25", "med", "p75")
 
 
-def weekpart_by_station(days: DataFrame, cfg: PanelConfig) -> DataFrame:
-    """Mean winsorized ratio on weekdays and on weekends, for stations that have both."""
+def weekpart_by_station(days: DataFrame, cfg: PanelConfig, ratios: DataFrame | None = None) -> DataFrame:
+    """Mean winsorized ratio on weekdays and on weekends, for stations that have both; ``ratios`` if they are at hand."""
     weekend = F.col("dow") >= 5
-    means = winsorized_ratio(days, cfg).groupBy("station_id").agg(
+    means = (winsorized_ratio(days, cfg) if ratios is None else ratios).groupBy("station_id").agg(
         F.avg(F.when(~weekend, F.col("ratio_w"))).alias("weekday_mean"),
         F.avg(F.when(weekend, F.col("ratio_w"))).alias("weekend_mean"),
     )

@@ -13,7 +13,7 @@ def data():
     return {"a": heavy, "b": hot, "c": np.array([4.0]), "d": np.array([1.0, 2.0, 2.0]), "e": np.full(9_000, 7.0)}
 
 
-@pytest.mark.parametrize("whole_below, broadcast_keys", [(20_000, 10_000), (2_500, 10_000), (2_500, 2)])
+@pytest.mark.parametrize("whole_below, broadcast_keys", [(40_000, 10_000), (20_000, 10_000), (2_500, 10_000), (2_500, 2)])
 def test_exact_per_group(spark, whole_below, broadcast_keys):
     groups = data()
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), (None, 1.0)],

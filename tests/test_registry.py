@@ -37,7 +37,7 @@ def comparable(pdf: pd.DataFrame) -> list[tuple]:
     "backtest_summary_stated", "ratio_to_baseline_weekly_many", "dow_profile_many", "extra_trees_scores", "extra_trees_levels_scores", "random_forest_scores",
     "random_forest_levels_scores",
     "backtest_extra_trees", "hist_boosting_scores", "hist_boosting_passes_scores", "gradient_boosting_scores", "lasso_scores",
-    "ratio_weekly_sketched", "elastic_net_scores", "huber_scores", "backtest_ridge",
+    "ratio_weekly_sketched", "week_quantiles_banded", "elastic_net_scores", "huber_scores", "backtest_ridge",
 ])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
