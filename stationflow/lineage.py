@@ -49,7 +49,7 @@ def noted() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _noting.remove(paths)
+        _noting[:] = [own for own in _noting if own is not paths]
 
 
 def staged(df: DataFrame) -> DataFrame:
