@@ -9,8 +9,8 @@ a pre-token of n bytes takes O(n log n) (the logarithm from the order of positio
 All pre-tokens of a batch that are not known yet go through one queue, as one list with breaks between them. A bucket is
 taken whole: while buckets are large, its pairs are merged by array operations, later one by one. Where a merge may bring up
 a pair of lower rank, only the first pair of each pre-token is taken at a time, so that the order within a pre-token
-is the same as if it had a queue of its own. Pre-tokens seen lately are remembered, a bounded number of them;
-results don't depend on it.
+is the same as if it had a queue of its own. Pre-tokens seen are numbered, and their ids remembered, a bounded number of
+them; results don't depend on it.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded one by one; lone surrogates become U+FFFD, as the library does it. Other
@@ -20,8 +20,10 @@ columns pass through; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,8 @@ BLOCK = 1 << 18  # ids decoded at a time
 SHIFT = 32  # a pair of ids as one number
 LARGE = 24  # positions of a bucket from which arrays are quicker than one by one
 SMALL_ONES = 200
-KNOWN_WORDS = 400_000  # pre-tokens remembered before those not in use are forgotten; some 200 bytes each
+KNOWN_WORDS = 600_000  # pre-tokens remembered before all are forgotten; some 200 bytes each
+GROUP = 16 << 20  # characters whose unknown pre-tokens are merged together
 
 
 class RankQueue:
@@ -98,6 +101,19 @@ def _distinct(parts: list) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]]
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All positions of the stretches that begin at ``starts``, one stretch after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+class _Numbers(dict):
+    """A number for every key, in the order in which keys are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class ByteBpe:
     """Encodes pre-tokens by ranks of byte strings (rank = id), and decodes ids."""
 
@@ -105,7 +121,7 @@ class ByteBpe:
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self._forget()  # numbers of the pre-tokens seen, and where their ids stand in one long row
         pieces = sorted((i, b) for b, i in ranks.items())
         self.flat = np.frombuffer(b"".join(b for _, b in pieces), np.uint8)
         self.size = np.zeros(pieces[-1][0] + 1, np.int64)
@@ -134,14 +150,23 @@ class ByteBpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        return np.frombuffer(self.merge_all([piece])[0], "<u4").tolist()
-
-    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of many pre-tokens."""
-        whole = [self.ranks.get(p) for p in pieces]
-        rest = [p for p, w in zip(pieces, whole) if w is None and p]
-        if not rest:
-            return [b"" if w is None else w.to_bytes(4, "little") for w in whole]
+        return self.merge_all([piece])[0].tolist()
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens, one after the other, and how many each has."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        counts = np.array([len(p) > 0 for p in pieces], np.int64)
+        left = np.flatnonzero((whole < 0) & (counts > 0))
+        rest = [pieces[k] for k in left.tolist()]
+        if rest:
+            made, counts[left] = self._merged(rest)
+        ids, starts = np.zeros(int(counts.sum()), "<u4"), np.cumsum(counts) - counts
+        ids[starts[whole >= 0]] = whole[whole >= 0]
+        if rest:
+            ids[_ranges(starts[left], counts[left])] = made
+        return ids, counts
+
+    def _merged(self, rest: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(p) for p in rest])
         ends = np.cumsum(lengths)
         n = int(ends[-1])
@@ -201,11 +226,7 @@ class ByteBpe:
             reached = reached[reached < n]
             reached = reached[~alive[reached]]
             alive[reached] = True
-        ids = symbol[alive].astype("<u4")
-        counts = np.add.reduceat(alive, starts)
-        packed, cut = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
-        made = iter([packed[a:b] for a, b in zip([0, *cut], cut)])
-        return [w.to_bytes(4, "little") if w is not None else next(made) if p else b"" for p, w in zip(pieces, whole)]
+        return symbol[alive].astype("<u4"), np.add.reduceat(alive, starts, dtype=np.int64)
 
     def _push(self, buckets: dict[int, list], at: np.ndarray, ranks: np.ndarray) -> None:
         """Positions into the buckets of their ranks; those of rank -1 don't wait."""
@@ -281,14 +302,24 @@ class ByteBpe:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts, as little-endian unsigned 32-bit integers."""
-        words = [self.find(well_formed(t)) if t else [] for t in texts]
-        own = set().union(*words)
-        if len(self.known) > KNOWN_WORDS:  # what this batch has in common with those before is worth keeping
-            self.known = {w: self.known[w] for w in own if w in self.known}
-        missing = [w for w in own if w not in self.known]
-        self.known.update(zip(missing, self.merge_all([w.encode() for w in missing])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in words]
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        before, number = len(self.known), self.known.__getitem__
+        cut = []
+        for text in texts:
+            words = self.find(well_formed(text)) if text else ()
+            cut.append(np.fromiter(map(number, words), np.int32, len(words)))
+        new = [w.encode() for w in islice(self.known, before, None)]
+        if new:
+            ids, counts = self.merge_all(new)
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.ids = np.concatenate([self.ids, ids])
+        return [self.ids[_ranges(self.first[own], self.count[own])].tobytes() for own in cut]
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -312,15 +343,45 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
+def _in_groups(batches: Iterator[pd.Series]) -> Iterator[list[pd.Series]]:
+    """Several batches at a time, of GROUP characters together: the larger the group, the larger the buckets."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(len(t) for t in batch if t)
+        if size >= GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def encoded(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, decoded>: the ids of each text as little-endian unsigned 32-bit integers, and the bytes they stand for."""
+
+    @pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = load(path, pattern)
+        for group in _in_groups(batches):
+            ids = iter(bpe.encode_all([t for batch in group for t in batch]))
+            for batch in group:
+                own = list(islice(ids, len(batch)))
+                yield pd.DataFrame({"ids": pd.Series(own, dtype=object),
+                                    "decoded": pd.Series([bpe.decode(i) for i in own], dtype=object)})
+
+    return both(text)
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Binary column: the ids of each text as little-endian unsigned 32-bit integers."""
 
     @pandas_udf("binary")
-    def encoded(texts: pd.Series) -> pd.Series:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(path, pattern)
-        return pd.Series(bpe.encode_all(list(texts)), dtype=object)
+        for batch in batches:
+            yield pd.Series(bpe.encode_all(list(batch)), dtype=object)
 
-    return encoded(text)
+    return ids(text)
 
 
 def decode(packed: Column, path: str, pattern: str) -> Column:
@@ -336,8 +397,8 @@ def decode(packed: Column, path: str, pattern: str) -> Column:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with packed ids in ``ids`` and the bytes they decode to in ``decoded``."""
-    docs = docs.withColumn("ids", encode(F.col("text"), path, pattern))
-    return docs.withColumn("decoded", decode(F.col("ids"), path, pattern))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.select(*kept, encoded(F.col("text"), path, pattern).alias("__both")).select(*kept, "__both.ids", "__both.decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
