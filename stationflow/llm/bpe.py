@@ -38,8 +38,8 @@ BLOCK = 1 << 18  # ids decoded at a time
 SHIFT = 32  # a pair of ids as one number
 LARGE = 24  # positions of a bucket from which arrays are quicker than one by one
 SMALL_ONES = 200
-KNOWN_WORDS = 600_000  # pre-tokens remembered before all are forgotten; some 200 bytes each
-GROUP = 16 << 20  # characters whose unknown pre-tokens are merged together
+KNOWN_WORDS = 400_000  # pre-tokens remembered before all are forgotten; some 200 bytes each
+GROUP = 8 << 20  # characters whose unknown pre-tokens are merged together
 
 
 class RankQueue:
