@@ -31,13 +31,15 @@ def station_day(dir_day: DataFrame) -> DataFrame:
     The direction ranking is a property of the whole station history. It is computed with windows
     over the same station partitioning that the final aggregate uses, so the direction-day table
     is read once and moved once. A station has at most (days x directions) rows here, however many
-    raw rows it had.
+    raw rows it had. The number of partitions is stated, as Spark would join them until few tasks hold many stations: it
+    goes by bytes moved, and these narrow rows take many times as much when they are sorted and ranked.
     """
+    parts = int(dir_day.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     station = Window.partitionBy("station_id")
     days_of_direction = Window.partitionBy("station_id", "dir_of_travel")
     best_first = station.orderBy(F.desc("n_days"), F.asc("dir_of_travel"))
     ranked = (
-        dir_day.repartition("station_id")
+        dir_day.repartition(parts, "station_id")
         .withColumn("n_days", F.count(F.lit(1)).over(days_of_direction))
         .withColumn("place", F.dense_rank().over(best_first))
         .withColumn("n_dirs", F.max("place").over(station).cast("long"))
